@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import core, licenses, link_trust, warc
 from .decontaminate import decontaminate
+from .minhash_join import near_duplicates
 from .packing import pack
 
 
@@ -16,6 +18,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 2-word shingle sets are similar by 0.8 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+#: Verdict, host and path of each URL rule; the hosts are whole or parent domains.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by rule, else by its host's trust and distrust."""
+    return link_trust.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives with revisits, and read back from them."""
+    path = core.new_path(spark, "warc")
+    warc.write(warc.resolve(table(spark, sf_dir, "pages")), path)
+    rows = warc.summary(warc.read(spark, path))
+    return rows.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
+_SHORT = 400
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents as files ``source/thousand/hundred/id.txt``; those of at most
+    400 characters are the notices of their thousand's directory."""
+    c = F.col
+    top = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.floor(c("doc_id") / 1000).cast("string"))
+    path = F.when(F.length("text") <= _SHORT, F.concat(top, F.lit("/NOTICE-"), c("doc_id").cast("string"))).otherwise(F.concat(top, F.lit("/"), F.floor(c("doc_id") / 100).cast("string"), F.lit("/"), c("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files, "doc_id", "path", "text")
+
+
+_FILES_SQL = f"""SELECT doc_id AS file_id, text, CASE
+    WHEN length(text) <= {_SHORT} THEN coalesce(source, '_') || '/' || (doc_id // 1000) || '/NOTICE-' || doc_id
+    ELSE coalesce(source, '_') || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || doc_id || '.txt' END AS path
+  FROM documents"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens, mixed by source."""
     return packed(table(spark, sf_dir, "documents"))
@@ -38,8 +81,20 @@ def contaminated(found: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash": op3_minhash,
+    "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
+    "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT payload_digest, min(page_id) AS original FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM p LEFT JOIN o USING (payload_digest)""",
+    "op10_license_scan": f"SELECT file_id AS doc_id, * EXCLUDE (file_id) FROM ({licenses.oracle(_FILES_SQL)})",
+}
