@@ -124,3 +124,14 @@ def distinct(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     keep = np.ones(len(v), bool)
     keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
     return v[keep], np.bincount(r[keep], minlength=len(counts)).astype(np.int64)
+
+
+def prefixes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, lengths: range):
+    """For each of ``lengths``, the hash of the leading bytes of every word; of words that
+    are shorter it is without meaning. A-Z counts as a-z."""
+    acc = np.full(len(begins), U64(7), U64)
+    last = max(len(data) - 1, 0)
+    for j in range(max(lengths)):
+        acc = acc * U64(0xD6E8FEB86659FD93) + _VALUE[data[np.minimum(begins + j, last)]]
+        if j + 1 in lengths:
+            yield j + 1, mix(acc + U64(j))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import core, licenses, link_trust, warc
+from . import core, licenses, link_trust, toxicity, warc
 from .decontaminate import decontaminate
 from .minhash_join import near_duplicates
 from .packing import pack
@@ -18,6 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(column: str, n: int) -> Column:
+    """crc32 of an id as text, modulo n."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def toxicity_weights(docs: DataFrame, labels: DataFrame) -> toxicity.Weights:
+    """Learned from the rows of ``labels`` that are not held out."""
+    return toxicity.train(docs, labels.where(_remainder("doc_id", 3) != 1))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's score; a third of the ids is held out of the training."""
+    docs = table(spark, sf_dir, "documents")
+    weights = toxicity_weights(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), weights)
+    return scored.select("doc_id", (_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose 2-word shingle sets are similar by 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
@@ -81,6 +99,7 @@ def contaminated(found: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_minhash": op3_minhash,
     "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
