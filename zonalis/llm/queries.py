@@ -12,6 +12,7 @@ from . import core, licenses, link_trust, toxicity, warc
 from .decontaminate import decontaminate
 from .minhash_join import near_duplicates
 from .packing import pack
+from .subspace_join import links
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.9 or more."""
+    return links(table(spark, sf_dir, "embeddings"))
+
+
 _SHORT = 400
 
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
+    "op6_embeddings": op6_embeddings,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
     "op10_license_scan": op10_license_scan,
