@@ -40,10 +40,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a few long integers that a staged file holds at least, if their number is known.
+FILE_ROWS = 500_000
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there,
-    and a lost executor costs no more than a reread."""
+    and a lost executor costs no more than a reread. ``rows``: their number, if the
+    caller knows it, so that a small table becomes few files."""
     path = new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -96,3 +103,48 @@ def starts(counts: np.ndarray) -> np.ndarray:
     at = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=at[1:])
     return at
+
+
+class Bloom:
+    """A filter of at most ``2**BITS`` bits, whatever it holds: full, it lets all pass."""
+
+    BITS, SLICES = 24, 64
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    @staticmethod
+    def slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        from .hashing import mix
+
+        h = mix(ids.astype(np.int64).view(np.uint64))
+        low = np.uint64((1 << Bloom.BITS) - 1)
+        return (h & low).astype(np.int64), (h >> np.uint64(40)).astype(np.int64)
+
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        a, b = self.slots(ids)
+        return self.bits[a] & self.bits[b]
+
+
+def bloom(ids: DataFrame) -> Bloom:
+    """A filter of the integers in the only column of ``ids``; merged by slices on the executors."""
+    size = 1 << Bloom.BITS
+
+    def mark(batches):
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            for at in Bloom.slots(batch.column(0).to_numpy()):
+                bits[at] = True
+        rows = bits.reshape(Bloom.SLICES, -1)
+        on = np.flatnonzero(rows.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array([np.packbits(rows[i]).tobytes() for i in on], pa.binary())], ["slice", "bits"])
+
+    def merge(table):
+        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
+        return pa.table([table["slice"].slice(0, 1), pa.array([bits.tobytes()], pa.binary())], ["slice", "bits"])
+
+    got = ids.mapInArrow(mark, "slice long, bits binary").groupBy("slice").applyInArrow(merge, "slice long, bits binary").toArrow()
+    bits = np.zeros((Bloom.SLICES, size // Bloom.SLICES), bool)
+    for i, x in zip(got["slice"].to_pylist(), got["bits"].to_pylist(), strict=True):
+        bits[i] = np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool)
+    return Bloom(bits.ravel())

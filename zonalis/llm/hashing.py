@@ -135,3 +135,8 @@ def prefixes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, lengths: ra
         acc = acc * U64(0xD6E8FEB86659FD93) + _VALUE[data[np.minimum(begins + j, last)]]
         if j + 1 in lengths:
             yield j + 1, mix(acc + U64(j))
+
+
+def value_of(byte: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each byte; A-Z counts as a-z."""
+    return _VALUE[byte]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import core, licenses, link_trust, toxicity, warc
+from . import core, crf, licenses, link_trust, suffix_tree, toxicity, warc
 from .decontaminate import decontaminate
 from .minhash_join import near_duplicates
 from .packing import pack
@@ -37,6 +37,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's log10 probability; a tenth of the ids is held out of the tree."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tree = suffix_tree.grow(docs.where(_remainder("doc_id", 10) != 0))
+    out = suffix_tree.score(docs, tree)
+    return out.select("doc_id", (_remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose 2-word shingle sets are similar by 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
@@ -64,6 +72,18 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(table(spark, sf_dir, "embeddings"))
 
 
+def language_model(docs: DataFrame) -> crf.Model | None:
+    """Learned from the documents that are not held out."""
+    return crf.train(docs.where(_remainder("doc_id", 4) != 2))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's language; a quarter of the ids is held out of the training."""
+    docs = table(spark, sf_dir, "documents")
+    found = crf.predict(docs.select("doc_id", "text"), language_model(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 _SHORT = 400
 
 
@@ -106,12 +126,14 @@ def contaminated(found: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_suffix_tree": op2_suffix_tree,
     "op3_minhash": op3_minhash,
     "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
     "op6_embeddings": op6_embeddings,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
+    "op9_language": op9_language,
     "op10_license_scan": op10_license_scan,
 }
 
