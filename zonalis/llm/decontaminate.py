@@ -147,17 +147,19 @@ def _count(docs: DataFrame, block: _Block) -> np.ndarray:
     return seen
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, block_windows: int = BLOCK_WINDOWS, keep: bool = False) -> DataFrame:
     """Per document: ``doc_id, n_words, n_hit, items`` (the ids of the items with a window
-    in it, distinct) and ``spans`` (word ranges ``[start, end)`` that are hit)."""
+    in it, distinct), ``spans`` (word ranges ``[start, end)`` that are hit) and with
+    ``keep`` also ``row``, all its columns as a struct."""
     spark = docs.sparkSession
     # windows whose words are equal are one window; those of one block fit a broadcast
     cut = core.stage(windows(items, item_id, item_text, size), "windows")
     n_blocks = max(1, -(-cut.count() // block_windows))
-    state = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("binary").alias("text"))
-    source = state
+    state = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("binary").alias("text"), *([F.struct("*").alias("row")] if keep else []))
+    source = state.select("doc", "text")
     item_type = cut.schema["item"].dataType
     state = state.withColumns({"hit": F.lit(None).cast("binary"), "items": F.array().cast(T.ArrayType(item_type))})
+    state = state.select("doc", "text", "hit", "items", *(["row"] if keep else []))
     for b in range(n_blocks):
         own = cut.where(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == b).toArrow()
         grouped = defaultdict(list)
@@ -191,13 +193,13 @@ def _join(state: DataFrame, block, item_type: T.DataType) -> DataFrame:
                 bits.append((own if before is None else own | np.frombuffer(before, np.uint8)[4:]).tobytes())
                 items[r] = sorted({*items[r], *found.get(r, ())}, key=str)
             head = counts.astype("<u4")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([head[r].tobytes() + x for r, x in enumerate(bits)], pa.binary()), pa.array(items, batch.column(3).type)], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([head[r].tobytes() + x for r, x in enumerate(bits)], pa.binary()), pa.array(items, batch.column(3).type), *batch.columns[4:]], batch.schema.names)
 
     return state.mapInArrow(join, state.schema)
 
 
 def _spans(state: DataFrame) -> DataFrame:
-    schema = T.StructType([T.StructField("doc", state.schema["doc"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", state.schema["items"].dataType), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    schema = T.StructType([T.StructField("doc", state.schema["doc"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", state.schema["items"].dataType), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), *(f for f in state.schema if f.name == "row")])
 
     def read(batches):
         for batch in batches:
@@ -209,6 +211,6 @@ def _spans(state: DataFrame) -> DataFrame:
                 n_words.append(n)
                 n_hit.append(int(hit.sum()))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column(2), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column(2), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *batch.columns[3:]], [f.name for f in schema])
 
-    return state.select("doc", "hit", "items").mapInArrow(read, schema)
+    return state.drop("text").mapInArrow(read, schema)
