@@ -1,10 +1,69 @@
-"""The corpus pipeline: each stage's rows are written as Parquet and read again by the next."""
+"""The corpus pipeline: each stage's rows are written as Parquet and read again by the next.
+
+Stages take ``(spark, docs, sf_dir)`` and, but for the last, return the columns of
+``documents``. Nulls are no reason to reject but where a stage says so: a document
+without text has no toxic words and no benchmark passages, and goes as no language is
+found in it. Documents without an id are no copies. An empty table passes through.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from zonalis.llm import core, crf, queries, toxicity
+from zonalis.llm.decontaminate import decontaminate
+from zonalis.llm.minhash_join import near_duplicates
+
+#: A document with this chance of being toxic is rejected.
+TOXIC = 0.7
+#: A document whose language holds a smaller share of its words is rejected, as is one without any.
+LEAST_SHARE = 0.3
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that score as toxic."""
+    weights = queries.toxicity_weights(docs, queries.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, weights, column="_score").where(F.col("_score") < TOXIC).drop("_score")
+
+
+def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents in no language, or in none that holds ``LEAST_SHARE`` of the words."""
+    found = crf.predict(docs, queries.language_model(docs), prefix="_")
+    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_SHARE)).drop("_lang_pred", "_score")
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near copies (5-word shingles, 0.8) the smallest id."""
+    found = core.stage(near_duplicates(docs).select("doc_id", "kept"), "kept")
+    n, ids = found.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    gone = found.where("NOT kept").select("doc_id")
+    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if n != ids:  # rows that repeat an id are copies too
+        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    return out
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents with a window of a benchmark item."""
+    found = decontaminate(docs, queries.table(spark, sf_dir, "benchmark"), keep=True)
+    return found.where("n_hit = 0").select("row.*")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, in sequences of 4096 tokens."""
+    return queries.packed(docs)
+
+
+STAGES = [("toxicity", without_toxic), ("language", with_language), ("near_duplicates", without_copies), ("decontamination", without_benchmark), ("packing", packing)]
+
+#: No stage but the fourth can be told in SQL; tests hold the rows against brute force.
 ORACLE_SQL: str | None = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the table ``documents`` in ``sf_dir``."""
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = core.stage(stage(spark, docs, sf_dir), name)
+    return docs
