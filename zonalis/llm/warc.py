@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import core
+
 CRLF = "\r\n"
 _VERSION = "WARC/1.1"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -65,25 +67,21 @@ def read(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     has the digest that its header names and a null payload, a response the digest of
     the payload that was read."""
     text = spark.read.option("lineSep", f"{CRLF * 2}{_VERSION}{CRLF}").text(path)
-    record = F.regexp_replace("value", rf"^{_VERSION}\r\n", "")
-    cut = F.instr(record, CRLF * 2)
-    rows = text.select(F.substring(record, F.lit(1), cut - 1).alias("head"), F.substring(record, cut + 4, F.length(record)).cast("binary").alias("rest"))
-    rows = rows.where(_header("WARC-Type").isNotNull())
-    rows = rows.withColumn("block", F.substring("rest", F.lit(1), _header("Content-Length").cast("int")).cast("string"))
-    cut = F.instr("block", CRLF * 2)
-    http, body = F.substring("block", F.lit(1), cut - 1), F.substring("block", cut + 4, F.length("block"))
-    payload = F.when(F.contains(http, F.lit("Content-Transfer-Encoding: base64")), F.unbase64(body)).otherwise(body.cast("binary"))
+    # WARC header, HTTP header, body; the last record of an archive ends with its own two CRLF
+    rows = text.select(F.split("value", CRLF * 2, 3).alias("part")).where(F.size("part") == 3)
+    rows = rows.select(F.col("part")[0].alias("head"), F.col("part")[1].alias("http"), F.col("part")[2].cast("binary").alias("rest"))
+    rows = rows.withColumn("body", F.substring("rest", F.lit(1), F.regexp_extract("http", r"\r\nContent-Length: ([0-9]+)$", 1).cast("int")))
     number = lambda name: F.nullif(F.regexp_extract(F.coalesce(_header(name), F.lit("")), "<urn:page:([^>]*)>", 1), F.lit("")).cast(id_type)
-    out = rows.select(number("WARC-Record-ID").alias("id"), _header("WARC-Target-URI").alias("url"), _header("WARC-Type").alias("type"), F.regexp_extract(F.coalesce(_header("WARC-Payload-Digest"), F.lit("")), "sha256:(.*)", 1).alias("named"), number("WARC-Refers-To").alias("refers_to"), payload.alias("payload"))
-    response = F.col("type") == "response"
-    return out.select("id", "url", "type", F.when(response, F.sha2("payload", 256)).otherwise(F.col("named")).alias("digest"), "refers_to", F.when(response, F.col("payload")).alias("payload"))
+    out = rows.select(number("WARC-Record-ID").alias("id"), _header("WARC-Target-URI").alias("url"), _header("WARC-Type").alias("type"), F.regexp_extract(F.coalesce(_header("WARC-Payload-Digest"), F.lit("")), "sha256:(.*)", 1).alias("named"), number("WARC-Refers-To").alias("refers_to"), F.contains("http", F.lit("Content-Transfer-Encoding: base64")).alias("encoded"), "body")
+    payload = F.when(F.col("type") == "response", F.when(F.col("encoded"), F.unbase64(F.col("body").cast("string"))).otherwise(F.col("body")))
+    out = out.select("id", "url", "type", "named", "refers_to", payload.alias("payload"))
+    return out.select("id", "url", "type", F.coalesce(F.sha2("payload", 256), "named").alias("digest"), "refers_to", "payload")
 
 
 def summary(records: DataFrame) -> DataFrame:
     """Per record ``id, type, digest, refers_to, payload_bytes``: a revisit's size is that of
     the original response, joined by id."""
-    size = F.octet_length("payload").cast("long")
-    response = records.where("type = 'response'").select("id", "type", "digest", "refers_to", size.alias("payload_bytes"))
-    sizes = records.where("type = 'response'").select(F.col("id").alias("refers_to"), F.col("digest"), size.alias("payload_bytes")).distinct()
-    revisit = records.where("type = 'revisit'").select("id", "type", "digest", "refers_to").join(sizes, ["refers_to", "digest"], "left")
-    return response.unionByName(revisit)
+    slim = core.stage(records.select("id", "type", "digest", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes")), "records")
+    sizes = slim.where("type = 'response'").groupBy(F.col("id").alias("refers_to"), "digest").agg(F.min("payload_bytes").alias("payload_bytes"))
+    revisit = slim.where("type = 'revisit'").drop("payload_bytes").join(sizes, ["refers_to", "digest"], "left")
+    return slim.where("type = 'response'").unionByName(revisit)
