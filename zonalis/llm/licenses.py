@@ -3,8 +3,8 @@
 Lines of whole texts are cut into overlapping windows, each long enough to hold any
 template whole. A window's sparse TF-IDF vector is compared with every template's by
 cosine; a file's licence is its best window's. Lines are first held against the anchor
-words: a cosine of ``least`` needs a shared word outside each template's lightest
-words, whose weights together stay under ``least``, so no match is lost. Files without
+words: a cosine of ``least`` needs a shared word outside some words of each
+template whose weights together stay under ``least``, so no match is lost. Files without
 a licence of their own take that of the licence file in the nearest ancestor
 directory, found by equi-joins of directories on paths: first for each distinct
 directory, then for its files.
@@ -40,6 +40,8 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+#: Words that other texts hold too often to be anchors, if others suffice.
+COMMON = frozenset("a and are as at by for form forms in is of or subject terms that the this to under use with without work".split())
 LEAST = 0.75
 DIGITS = 4
 #: A word: letters, digits and inner dots or hyphens, of the lower-cased text.
@@ -57,16 +59,20 @@ class Model:
         self.idf = {t: round(math.log((1 + len(bags)) / (1 + n)) + 1, 6) for t, n in sorted(df.items())}
         self.window = max(sum(bag.values()) for bag in bags.values())
         self.vectors: dict[str, dict[str, float]] = {}
-        anchors: set[str] = set()
         for name, bag in bags.items():
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in bag.items()))
-            unit = {t: round(n * self.idf[t] / norm, 6) for t, n in bag.items()}
-            self.vectors[name] = unit
-            tail, light = 0.0, sorted(unit, key=lambda t: (unit[t], t))
-            while light and tail + unit[light[0]] ** 2 < (least * 0.999) ** 2:
-                tail += unit[light.pop(0)] ** 2
-            anchors.update(light)
-        self.anchors = sorted(anchors)
+            self.vectors[name] = {t: round(n * self.idf[t] / norm, 6) for t, n in bag.items()}
+        # few words, such that without them no template reaches the least cosine
+        need = {name: 1 - (least * 0.999) ** 2 for name in bags}
+        words = sorted(self.idf, key=lambda t: (-len(t), t))
+        self.anchors: list[str] = []
+        while max(need.values()) > 0:
+            gain = {t: sum(min(v.get(t, 0.0) ** 2, max(0.0, need[name])) for name, v in self.vectors.items()) for t in words}
+            best = max(words, key=lambda t: gain[t] * (1e-4 if t in COMMON else 0.02 if len(t) < 3 else 1))
+            self.anchors.append(best)
+            words.remove(best)
+            for name, v in self.vectors.items():
+                need[name] -= v.get(best, 0.0) ** 2
 
 
 def _weights(values: dict[str, float]) -> Column:
@@ -75,8 +81,10 @@ def _weights(values: dict[str, float]) -> Column:
 
 def own(files: DataFrame, model: Model, key: str, text: str, least: float = LEAST) -> DataFrame:
     """``key, license, score`` of the files whose text states a licence."""
-    anchor = "(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in model.anchors) + ")(?![a-z0-9])"
-    lines = files.select(F.col(key), F.explode(F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: x.rlike(anchor))).alias("line"))
+    anchor = "(?i)" + "|".join(re.escape(a) if len(a) > 2 else rf"\b{re.escape(a)}\b" for a in model.anchors)
+    # whole texts first: few are split into lines, and the expression is evaluated once
+    some = files.where(F.col(text).rlike(anchor))
+    lines = some.select(F.col(key), F.explode(F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: x.rlike(anchor))).alias("line"))
     n = model.window
     words = lines.select(key, F.regexp_extract_all(F.lower("line"), F.lit(f"({WORD})"), F.lit(1)).alias("words")).where(F.size("words") > 0)
     cut = words.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - n - 1), F.lit(n)), lambda i: F.slice("words", i + 1, F.lit(2 * n)))).alias("words"))
