@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import calendar, geometry, ids, measures, parsers
+from .functions import buildings, calendar, geometry, ids, measures, parsers
 from .operators import archive, destinations, flows, growth, movement, places, population, zones
 from .plans import service
 from .plans.views import SQL, Views
@@ -450,6 +450,34 @@ def f13_filter_groups(v: Views) -> DataFrame:
     return places.filter_groups(rows, 30, contains="A", regions=["Brand#11", "Brand#12", "Brand#21"])
 
 
+@query("SELECT 'poi-' || s_suppkey AS placekey, s_name AS location_name FROM supplier JOIN area ON s_nationkey = k WHERE r IN (0, 1) AND (contains(s_name, '7') OR contains(lower(s_name), '3'))")
+def f12_select_places(v: Views) -> DataFrame:
+    areas = [r.cbg for r in v.area.where("r IN (0, 1)").select("cbg").collect()]
+    return places.select_places(visits.normalise(v.patterns), areas, contains=["7", "3"]).select("placekey", "location_name")
+
+
+@query("n AS (SELECT s_suppkey, count(*) AS n, count(DISTINCT src) AS m FROM visit WHERE month = '1995-06' GROUP BY 1) SELECT cbg AS poi_cbg, 'poi-' || s_suppkey AS placekey, rank FROM (SELECT *, row_number() OVER (PARTITION BY cbg ORDER BY n DESC NULLS LAST, m DESC NULLS LAST, s_name DESC)::INTEGER AS rank FROM supplier JOIN area ON s_nationkey = k LEFT JOIN n USING (s_suppkey)) WHERE rank <= 2")
+def w10_top_by_area(v: Views) -> DataFrame:
+    return places.top_by_area(visits.normalise(v.patterns), 2).select("poi_cbg", "placekey", "rank")
+
+
+_TAGS = "tag AS (SELECT p_partkey, ['house', 'yes', 'church', 'terrace', 'building', 'ruin'][p_partkey % 6 + 1] AS b, CASE WHEN p_partkey % 5 = 0 THEN 'shop' END AS shop, CASE WHEN p_partkey % 7 = 0 THEN 'residential' WHEN p_partkey % 11 = 0 THEN 'farm' END AS land, p_retailprice AS area FROM part)"
+
+
+def _tagged(v: Views) -> DataFrame:
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ("house", "yes", "church", "terrace", "building", "ruin"))), (k % 6 + 1).cast("int"))
+    land = F.when(k % 7 == 0, "residential").when(k % 11 == 0, "farm")
+    tags = F.map_filter(F.create_map(F.lit("building"), kind, F.lit("shop"), F.when(k % 5 == 0, "shop"), F.lit("landuse"), land), lambda _, x: x.isNotNull())
+    return v.table("part").select("p_partkey", tags.alias("tags"), F.col("p_retailprice").alias("area"))
+
+
+@query(f"{_TAGS} SELECT p_partkey, CASE WHEN b IN ('church', 'ruin') THEN FALSE WHEN b IN ('house', 'terrace') THEN TRUE ELSE shop IS NULL AND coalesce(land, 'residential') = 'residential' END AS home, coalesce(land = 'residential', FALSE) AS land, least(greatest(area, 25.0), 2500.0) * CASE b WHEN 'terrace' THEN 1.6 WHEN 'house' THEN 1.0 WHEN 'yes' THEN 0.35 WHEN 'building' THEN 0.35 ELSE 0.2 END::DOUBLE AS weight FROM tag")
+def f16_buildings(v: Views) -> DataFrame:
+    t = F.col("tags")
+    return _tagged(v).select("p_partkey", buildings.is_home(t).alias("home"), buildings.is_home_land(t).alias("land"), buildings.building_weight(t, F.col("area")).alias("weight"))
+
+
 # Destinations ----------------------------------------------------------------------------------
 
 _DEST = f"""{_ZIPS},
@@ -596,7 +624,7 @@ def m3_persons(v: Views) -> DataFrame:
 
 @query()
 def m4_homes(v: Views) -> DataFrame:
-    b = v.table("customer").join(v.area, F.col("c_nationkey") == F.col("k")).select("cbg", (F.col("lat") + F.col("c_custkey") % 10 * 0.01).alias("lat"), (F.col("lon") + F.col("c_custkey") % 7 * 0.01).alias("lon"), measures.building_weight(F.col("c_acctbal"), F.lit("house"), F.lit(None).cast("string")).alias("weight"))
+    b = v.table("customer").join(v.area, F.col("c_nationkey") == F.col("k")).select("cbg", (F.col("lat") + F.col("c_custkey") % 10 * 0.01).alias("lat"), (F.col("lon") + F.col("c_custkey") % 7 * 0.01).alias("lon"), buildings.building_weight(F.create_map(F.lit("building"), F.lit("house")), F.col("c_acctbal")).alias("weight"))
     return population.homes(_households(v), v.centers, b)
 
 
@@ -751,6 +779,14 @@ def m10_queue_simulation(v: Views) -> DataFrame:
     return archive.queue_simulation(_folk(v), p, 120)
 
 
+@query()
+def g20_spatial_growth(v: Views) -> DataFrame:
+    people = v.area.join(v.population, "cbg").select(F.col("k").cast("string").alias("cbg"), "population")
+    border = geometry.touching(_polygons(v)).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    runs = v.spark.createDataFrame([("r0", "0", 400), ("r12", "12", 600)], "run_id string, seed string, min_pop int")
+    return archive.spatial_growth(border, people, runs)
+
+
 # Service --------------------------------------------------------------------------------------------
 
 

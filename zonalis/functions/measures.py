@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371
-DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -62,12 +61,6 @@ def external_ratio(inside: Column, least: float = 0.02) -> Column:
     return (1 - f) / f
 
 
-def building_weight(area: Column, kind: Column, residential_tag: Column) -> Column:
-    base = F.when(kind.isin("apartments", "dormitory"), 6.0).when(residential_tag.isNotNull() & (kind == "residential"), 6.0).when(kind.isin("terrace", "semidetached_house", "semi"), 1.6).when(kind.isin("residential", "house", "detached"), 1.0).when(kind.isin("yes", "building"), 0.35).otherwise(0.2)
-    base = F.when(residential_tag.isNotNull(), F.greatest(base, F.lit(1.5))).otherwise(base)
-    return F.least(F.greatest(area, F.lit(25.0)), F.lit(2500.0)) * base
-
-
 def relative_weights(parent: Column, in_law: Column, sibling: Column, grandchild: Column, other: Column) -> Column:
     return F.array(parent + in_law, sibling, grandchild, other)
 

@@ -93,3 +93,27 @@ def queue_simulation(people: DataFrame, places: DataFrame, minutes: int, every:
         return pd.DataFrame(out, columns=["zone", "minute", "person_id", "is_home", "location_id"])
 
     return p.unionByName(q).groupBy("zone").applyInPandas(run, "zone string, minute int, person_id string, is_home boolean, location_id string")
+
+
+def spatial_growth(border: DataFrame, population: DataFrame, runs: DataFrame) -> DataFrame:
+    """``run_id, position, cbg``: areas in breadth-first order over shared borders, ties by
+    id, until ``runs(run_id, seed, min_pop)`` have their people; a group for each run."""
+    rows = border.join(population.withColumnRenamed("cbg", "b"), "b", "left").withColumn("k", F.lit(1)).join(runs.withColumn("k", F.lit(1)), "k").select("run_id", "seed", "min_pop", "a", "b", "population")
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        near, people = {}, {}
+        for a, b, p in pdf[["a", "b", "population"]].sort_values(["a", "b"]).itertuples(index=False):
+            near.setdefault(a, []).append(b)
+            people[b] = 0 if pd.isna(p) else int(p)
+        queue = [pdf["seed"].iloc[0]]
+        seen, out, total = set(queue), [], 0
+        while queue and total < pdf["min_pop"].iloc[0]:
+            x = queue.pop(0)
+            out.append(x)
+            total += people.get(x, 0)
+            new = [y for y in near.get(x, []) if y not in seen]
+            seen.update(new)
+            queue += new
+        return pd.DataFrame({"run_id": key[0], "position": range(1, len(out) + 1), "cbg": out})
+
+    return rows.groupBy("run_id").applyInPandas(run, "run_id string, position int, cbg string")

@@ -88,3 +88,24 @@ def filter_groups(members: DataFrame, least: int = 1, ids: list[str] | None = No
         members = members.where(F.col("group_id").isin(ids))
     one = members.groupBy("group_id").agg(F.count("*").alias("members"), F.max(F.contains(F.lower("location_name"), F.lit((contains or "").lower()))).alias("named"), F.max(F.col("region").isin(regions or [])).alias("there"))
     return one.where((F.col("members") >= least) & (F.lit(contains is None) | F.col("named")) & (F.lit(regions is None) | F.col("there"))).select("group_id", "members")
+
+
+def select_places(visits: DataFrame, areas: list[str] | None = None, keys: list[str] | None = None, contains: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Places by area, key and any of some parts of their name, whatever its case."""
+    if areas is not None:
+        visits = visits.where(F.col("poi_cbg").isin(areas))
+    if keys is not None:
+        visits = visits.where(F.col("placekey").isin(keys))
+    if contains:
+        name = F.lower("location_name")
+        any_of = F.lit(False)
+        for part in contains:
+            any_of = any_of | F.contains(name, F.lit(part.lower()))
+        visits = visits.where(any_of)
+    return visits if limit is None else visits.orderBy("placekey").limit(limit)
+
+
+def top_by_area(visits: DataFrame, keep: int) -> DataFrame:
+    """Each area's places by visits, visitors and name, ranked, the first ``keep``."""
+    w = Window.partitionBy("poi_cbg").orderBy(F.desc_nulls_last("raw_visit_counts"), F.desc_nulls_last("raw_visitor_counts"), F.desc("location_name"))
+    return visits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
