@@ -11,4 +11,7 @@ sys.path.insert(0, str(Path(__file__).parents[1]))
 def spark(tmp_path_factory):
     session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    from zonalis.session import ship
+
+    ship(session)
     return session
