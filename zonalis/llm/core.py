@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,6 +65,15 @@ def drop_staged(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary or string array and its offsets, from 0; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -126,14 +136,15 @@ class Bloom:
         return self.bits[a] & self.bits[b]
 
 
-def bloom(ids: DataFrame) -> Bloom:
-    """A filter of the integers in the only column of ``ids``; merged by slices on the executors."""
+def bloom(ids: DataFrame, key=None) -> Bloom:
+    """A filter of the integers in the first column of ``ids``, or of what ``key`` makes of a
+    batch; merged by slices on the executors."""
     size = 1 << Bloom.BITS
 
     def mark(batches):
         bits = np.zeros(size, bool)
         for batch in batches:
-            for at in Bloom.slots(batch.column(0).to_numpy()):
+            for at in Bloom.slots(key(batch) if key else batch.column(0).to_numpy()):
                 bits[at] = True
         rows = bits.reshape(Bloom.SLICES, -1)
         on = np.flatnonzero(rows.any(1))

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from . import core, hashing
 
 BITS, SAMPLE, EPOCHS, PIECE, RATE = 18, 800, 2, 64, 0.4
+#: Text bytes that are labelled at a time, or one text.
+SLICE_BYTES = 1 << 20
 #: Words of a training step.
 STEP_WORDS = 8192
 _NONE = 1 << BITS
@@ -243,6 +245,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                     size = 0
         step()
         m = trainer.model
+        core.release()
         on = np.flatnonzero(m.emit.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(on, np.arange(-len(labels), 0))), pa.array([*(m.emit[on].astype(np.float64)), *m.move], pa.list_(pa.float64()))], ["feature", "weights"])
 
@@ -258,22 +261,24 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", prefix: st
     """``docs`` and the columns ``lang_pred`` and ``score``, their names after ``prefix``."""
     names = docs.columns
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    src = docs.select(*(F.col(f"`{c}`") for c in names), F.col(text).cast("binary").alias("_text"), letter.alias("_letter"))
+    src = docs.select(*(F.col(f"`{c}`") for c in names), letter.alias("_letter"))
+    at_text = names.index(text)
     schema = docs.select("*").schema.add(f"{prefix}lang_pred", "string").add(f"{prefix}score", "double")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
-        for batch in core.slices(batches, "_text"):
+        core.release()
+        for batch in core.slices(batches, text, SLICE_BYTES):
             n = batch.num_rows
             label, score = ["und"] * n, np.zeros(n)
-            words, which, counts = _split(*core.flat_bytes(batch.column(len(names)))) if m else (None, None, None)
+            words, which, counts = _split(*core.flat_bytes(batch.column(at_text))) if m else (None, None, None)
             if words is not None:
                 p, _ = marginals(words.scores(m.emit)[which], counts, m.move)
                 row = np.repeat(np.arange(n), counts)
                 mass = np.stack([np.bincount(row, p[:, k], minlength=n) for k in range(p.shape[1])], 1)
                 best = mass.argmax(1)
-                for i in np.flatnonzero(batch.column(len(names) + 1).to_numpy(zero_copy_only=False) & (counts > 0)):
+                for i in np.flatnonzero(batch.column(len(names)).to_numpy(zero_copy_only=False) & (counts > 0)):
                     label[i], score[i] = m.labels[best[i]], min(1.0, mass[i, best[i]] / counts[i])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(label, pa.string()), pa.array(score)], schema.names)
 

@@ -155,7 +155,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     # windows whose words are equal are one window; those of one block fit a broadcast
     cut = core.stage(windows(items, item_id, item_text, size), "windows")
     n_blocks = max(1, -(-cut.count() // block_windows))
-    state = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("binary").alias("text"), *([F.struct("*").alias("row")] if keep else []))
+    state = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("binary").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row")] if keep else []))
     source = state.select("doc", "text")
     item_type = cut.schema["item"].dataType
     state = state.withColumns({"hit": F.lit(None).cast("binary"), "items": F.array().cast(T.ArrayType(item_type))})
@@ -167,13 +167,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
             grouped[w].append(i)
         block = _Block(sorted(grouped.items()))
         block.choose(_count(source, block))
-        state = _join(state, spark.sparkContext.broadcast(block), item_type)
-        if b + 1 < n_blocks:
+        last = b + 1 == n_blocks
+        state = _join(state, spark.sparkContext.broadcast(block), last)
+        if not last:
             state = core.stage(state, "hits")
-    return _spans(state).withColumnsRenamed({"doc": doc_id})
+    if not keep:
+        return state.select(F.col("doc").alias(doc_id), "n_words", "n_hit", "items", "spans")
+    row = F.struct(*(F.col("text").cast(docs.schema[text].dataType).alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
+    return state.select(F.col("doc").alias(doc_id), "n_words", "n_hit", "items", "spans", row.alias("row"))
 
 
-def _join(state: DataFrame, block, item_type: T.DataType) -> DataFrame:
+_SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+def _join(state: DataFrame, block, last: bool) -> DataFrame:
+    """Adds a block's hits to ``hit``, a bit for each word, and ``items``; the last block gives
+    ``n_words, n_hit, items, spans`` instead."""
+    rest = [f for f in state.schema if f.name == "row"]
+    kept = rest and [state.schema["text"]]
+    schema = T.StructType([state.schema["doc"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), state.schema["items"], T.StructField("spans", _SPAN), *kept, *rest]) if last else state.schema
+
     def join(batches):
         for batch in core.slices(batches):
             h, counts, _, _ = hashing.words(*core.flat_bytes(batch.column(1)), hashing.ALNUM)
@@ -184,33 +197,25 @@ def _join(state: DataFrame, block, item_type: T.DataType) -> DataFrame:
             np.add.at(edge, start + block.value.length[w], -1)
             hit = np.cumsum(edge[:-1]) > 0
             found: dict[int, set] = defaultdict(set)
-            pairs = np.unique(np.stack([doc, w], 1), axis=0) if len(w) else ()
-            for d, x in pairs:
+            for d, x in np.unique(np.stack([doc, w], 1), axis=0) if len(w) else ():
                 found[int(d)].update(block.value.items[x])
-            bits, items = [], batch.column(3).to_pylist()
+            bits, n_hit, spans, items = [], [], [], batch.column(3).to_pylist()
             for r, before in enumerate(batch.column(2).to_pylist()):
-                own = np.packbits(hit[begin[r] : begin[r + 1]])
-                bits.append((own if before is None else own | np.frombuffer(before, np.uint8)[4:]).tobytes())
+                own = hit[begin[r] : begin[r + 1]]
+                if before is not None:
+                    own = own | np.unpackbits(np.frombuffer(before, np.uint8), count=len(own)).astype(bool)
                 items[r] = sorted({*items[r], *found.get(r, ())}, key=str)
-            head = counts.astype("<u4")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([head[r].tobytes() + x for r, x in enumerate(bits)], pa.binary()), pa.array(items, batch.column(3).type), *batch.columns[4:]], batch.schema.names)
-
-    return state.mapInArrow(join, state.schema)
-
-
-def _spans(state: DataFrame) -> DataFrame:
-    schema = T.StructType([T.StructField("doc", state.schema["doc"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", state.schema["items"].dataType), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), *(f for f in state.schema if f.name == "row")])
-
-    def read(batches):
-        for batch in batches:
-            n_words, n_hit, spans = [], [], []
-            for x in batch.column(1).to_pylist():
-                n = int.from_bytes(x[:4], "little")
-                hit = np.unpackbits(np.frombuffer(x, np.uint8)[4:], count=n).astype(np.int8)
-                edge = np.flatnonzero(np.diff(hit, prepend=0, append=0))
-                n_words.append(n)
-                n_hit.append(int(hit.sum()))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column(2), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *batch.columns[3:]], [f.name for f in schema])
-
-    return state.drop("text").mapInArrow(read, schema)
+                if last:
+                    turn = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).tolist() if own.any() else []
+                    n_hit.append(int(own.sum()))
+                    spans.append([{"start": a, "end": b} for a, b in zip(turn[::2], turn[1::2], strict=True)])
+                else:
+                    bits.append(np.packbits(own).tobytes())
+            item = pa.array(items, batch.column(3).type)
+            if last:
+                span = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(n_hit, pa.int64()), item, span, *([batch.column(1)] if rest else []), *batch.columns[4:]], [f.name for f in schema])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), item, *batch.columns[4:]], batch.schema.names)
+
+    return state.mapInArrow(join, schema)

@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     src = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("binary").alias("text")).join(F.broadcast(chosen), "doc").select("at", "y", "text")
 
     def featurise(batches):
-        for batch in core.slices(batches):
+        for batch in core.slices(batches, limit=core.SLICE_BYTES // 4):
             parts = list(_features(*core.flat_bytes(batch.column(2))))
             index, row = _distinct(np.concatenate([i for i, _ in parts]), np.concatenate([r for _, r in parts]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), core.binary_column(index, np.bincount(row, minlength=batch.num_rows))], ["at", "y", "features"])
@@ -131,6 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                     held = ([], [])
         if held[0]:
             model.step(held[0], np.array(held[1], float))
+        core.release()
         if model.nb:
             w = model.weights()
             yield pa.RecordBatch.from_arrays([pa.array(np.append(w.index, -1)), pa.array(np.append(w.value, w.bias))], ["index", "value"])
@@ -150,21 +151,21 @@ def score(docs: DataFrame, weights: Weights, text: str = "text", column: str = "
     """``docs`` and, as a further column, the chance that a whole text is toxic."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
     names = docs.columns
-    src = docs.select(*(F.col(f"`{c}`") for c in names), F.col(text).cast("binary").alias("_text"))
+    at_text = names.index(text)
     schema = docs.select("*").schema.add(column, "double")
 
     def run(batches):
         w = model.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[w.index] = w.value
-        for batch in core.slices(batches, "_text"):
+        for batch in core.slices(batches, text, core.SLICE_BYTES // 2):
             hit, at = [], []
-            for index, row in _features(*core.flat_bytes(batch.column(len(names)))):
+            for index, row in _features(*core.flat_bytes(batch.column(at_text))):
                 on = np.flatnonzero(dense[index])
                 hit.append(index[on])
                 at.append(row[on])
             index, row = _distinct(np.concatenate(hit), np.concatenate(at))
             s = np.bincount(row, dense[index], minlength=batch.num_rows) + w.bias
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
