@@ -1,7 +1,7 @@
 """Licence scans by DataFrame functions alone.
 
 Lines of whole texts are cut into overlapping windows, each long enough to hold any
-template whole. A window's sparse TF-IDF vector is compared with every template's by
+template whole; a statement within a longer line counts if it makes up most of one. A window's sparse TF-IDF vector is compared with every template's by
 cosine; a file's licence is its best window's. Lines are first held against the anchor
 words: a cosine of ``least`` needs a shared word outside some words of each
 template whose weights together stay under ``least``, so no match is lost. Files without

@@ -56,7 +56,7 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict by rule, else by its host's trust and distrust."""
-    return link_trust.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return link_trust.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACH = """reach(a, b) AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair UNION SELECT reach.a, p.b FROM reach JOIN (SELECT a, b FROM pair UNION SELECT b, a FROM pair) p ON reach.b = p.a),
+comp AS (SELECT a, min(b) AS m FROM reach GROUP BY 1)"""
+
+
+def _url_sql() -> str:
+    rules = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r[0] != "block", r[1] + r[2]))
+    fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN " for _, h, p in rules]
+    rule = " ".join(f + f"'{h}{p}'" for f, (_, h, p) in zip(fits, rules, strict=True))
+    verdict = " ".join(f + f"'{v}'" for f, (v, _, _) in zip(fits, rules, strict=True))
+    d = link_trust.DAMPING
+    rounds = "".join(f""",
+r{i + 1} AS MATERIALIZED (SELECT kind, host, coalesce(m, 0) + {1 - d!r}::DOUBLE * coalesce(s, 0) AS r FROM (SELECT w.kind, w."to" AS host, sum(r * p) * {d}::DOUBLE AS m FROM walk w JOIN r{i} USING (kind, host) GROUP BY 1, 2) FULL JOIN seed USING (kind, host))""" for i in range(link_trust.ROUNDS))
+    link = link_trust.LINK.replace("'", "''")
+    return f"""WITH cut AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, html, {_FOLD.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+ruled AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS verdict FROM split),
+host AS (SELECT host, count(*) AS n, count(CASE WHEN verdict = 'allow' THEN 1 END) AS good, count(CASE WHEN verdict = 'block' THEN 1 END) AS bad FROM ruled WHERE host <> '' GROUP BY 1),
+link AS (SELECT host, "to", count(*) AS w FROM (SELECT page_id, host, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '{link}', 1), lambda x: {_FOLD.format('x')}))) AS "to" FROM ruled WHERE host <> '') WHERE host <> "to" GROUP BY 1, 2),
+edge AS (SELECT host, "to", w FROM link UNION ALL SELECT host, host, 1 FROM host UNION ALL SELECT DISTINCT "to", "to", 1 FROM link WHERE "to" NOT IN (SELECT host FROM host)),
+both_ways AS (SELECT 'trust' AS kind, host, "to", w FROM edge UNION ALL SELECT 'distrust', "to", host, w FROM edge),
+walk AS MATERIALIZED (SELECT kind, host, "to", w / sum(w) OVER (PARTITION BY kind, host) AS p FROM both_ways),
+seed AS MATERIALIZED (SELECT 'trust' AS kind, host, good / n AS s FROM host WHERE good > 0 UNION ALL SELECT 'distrust', host, bad / n FROM host WHERE bad > 0),
+r0 AS (SELECT kind, host, s AS r FROM seed){rounds},
+score AS (SELECT host, max(CASE WHEN kind = 'trust' THEN r END) AS trust, max(CASE WHEN kind = 'distrust' THEN r END) AS distrust FROM r{link_trust.ROUNDS} GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN round(coalesce(distrust, 0), {link_trust.DIGITS}) > round(coalesce(trust, 0), {link_trust.DIGITS}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN score USING (host)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS x FROM w)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM sh p JOIN sh q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY 1, 2),
+pair AS (SELECT a, b FROM common JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE 100 * c >= 80 * (s.n + t.n - c)),
+{_REACH}
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
+FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN comp ON a = doc_id""",
+    "op4_url_filter": _url_sql(),
+    "op6_embeddings": f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+pair AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id < q.vec_id AND len(p.e) = len(q.e) WHERE list_dot_product(p.e, q.e) / (p.n * q.n) >= 0.9),
+deg AS (SELECT a, count(*) AS n FROM (SELECT a FROM pair UNION ALL SELECT b FROM pair) GROUP BY 1),
+{_REACH}
+SELECT vec_id, coalesce(deg.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN deg ON deg.a = vec_id LEFT JOIN comp ON comp.a = vec_id""",
+    "op8_decontamination": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, ws[i:i + least(len(ws), 10) - 1] AS x FROM (SELECT *, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM b WHERE len(ws) > 0)),
+dwin AS (SELECT doc_id, i, n, ws[i:i + n - 1] AS x FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)),
+hit AS (SELECT doc_id, item_id, i, n FROM dwin JOIN win USING (n, x)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN found USING (doc_id)""",
     "op7_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 o AS (SELECT payload_digest, min(page_id) AS original FROM p WHERE payload_bytes >= 100 GROUP BY 1)
