@@ -722,9 +722,9 @@ def m11_mixing(v: Views) -> DataFrame:
     return movement.mixing(_persons(v), 3, 0.3)
 
 
-@query("SELECT c_nationkey, avg(c_acctbal) AS lat FROM customer GROUP BY 1", views=False)
+@query("SELECT c_nationkey, round(avg(c_acctbal), 4) AS lat FROM customer GROUP BY 1", views=False)
 def a22_geocode(v: Views) -> DataFrame:
-    return v.table("customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("lat"))
+    return v.table("customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 4).alias("lat"))
 
 
 @query("SELECT sha256(string_agg(n_nationkey || ':' || n_name, ';' ORDER BY n_nationkey)) AS hash FROM nation", views=False)
