@@ -158,4 +158,6 @@ def bloom(ids: DataFrame, key=None) -> Bloom:
     bits = np.zeros((Bloom.SLICES, size // Bloom.SLICES), bool)
     for i, x in zip(got["slice"].to_pylist(), got["bits"].to_pylist(), strict=True):
         bits[i] = np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool)
+    del got
+    release()
     return Bloom(bits.ravel())
