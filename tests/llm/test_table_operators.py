@@ -170,6 +170,34 @@ def test_packing_with_many_sources(spark, monkeypatch):
     assert sum(p.length for p in got) == 80 and {p.sequence_id for p in got} == set(range(5))
 
 
+def test_mixture_of_more_sources_than_a_task_holds_at_once(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PAIRS", 5000)
+    n, size = packing.MAX_QUEUES + 76, 2048
+    name = lambda i: f"host{i:04d}"
+    weights = {name(i): 1.0 + 3 * (i % 2) for i in range(n)}
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), (F.col("id") % 5 + 8).cast("int")).alias("text"), F.format_string("host%04d", "id").alias("source"))
+    got = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), size=size, weights=weights).collect()
+    tokens = {p.source: p.doc_tokens for p in got}
+    share = np.array([weights[name(i)] for i in range(n)])
+    share = share / share.sum()
+    order = [name(i) for _, i in sorted(((k + 0.5) / share[i], i) for i in range(n) for k in range(tokens[name(i)]))]
+    here = {}
+    for p in got:
+        here.setdefault(p.sequence_id, Counter())[p.source] += p.length
+    assert here == {w: Counter(order[size * w : size * (w + 1)]) for w in range(-(-len(order) // size))}
+
+
+@pytest.mark.parametrize("heavy", [1.0, 900.0])
+def test_allotment_of_many_queues(heavy):
+    totals, w = np.full(1500, 4), np.ones(1500)
+    w[7], totals[7] = heavy, 3000
+    w = w / w.sum()
+    order = sorted(((k + 0.5) / w[q], q) for q in range(1500) for k in range(totals[q]))
+    rounds = np.arange(totals.sum() // 700 + 2)
+    for r, row in zip(rounds, packing.allotment(rounds, 700, totals, w), strict=True):
+        assert row.tolist() == np.bincount([q for _, q in order[: 700 * r]], minlength=1500).tolist()
+
+
 def test_crc_of_ids(spark):
     p = queries.packed(spark.createDataFrame([(1, "hello", "s")], "doc_id long, text string, source string")).first()
     assert p.doc_tokens == 2 and 0 < p.ids_crc32 < 2**32 and zlib.crc32(b"") == 0

@@ -14,7 +14,8 @@ which empties every queue at the same time.
 
 Defined results: a null text counts as empty and gives the end token alone; a null
 source is a queue of its own; repeated rows are packed each; other columns are ignored;
-no documents give no pieces. Of more than ``MAX_QUEUES`` sources, those share queues by hash.
+no documents give no pieces. Every source is a queue of its own, however many there are;
+of more than ``MAX_QUEUES``, a task works out fewer windows at a time.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ from pyspark.sql import types as T
 
 from . import core, hashing
 
+#: Queues whose states before 4096 windows a task holds at once.
 MAX_QUEUES = 1024
+#: Pairs of a document and a window that a task looks at together.
+PAIRS = 1 << 20
 #: Words whose ids a worker remembers, before it begins anew.
 CACHE_WORDS = 1 << 20
 
@@ -138,6 +142,16 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id",
     return src.mapInArrow(run, schema)
 
 
+def marks(totals: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The times at which queues are exhausted, from 0, and how many tokens all have earned by then."""
+    ends = totals / weights
+    order = np.argsort(ends, kind="stable")
+    at = np.concatenate([[0.0], ends[order]])
+    done = core.starts(totals[order])
+    left = np.append(np.cumsum(weights[order][::-1])[::-1], 0.0)
+    return at, np.maximum.accumulate(done + at * left)
+
+
 def allotment(rounds: np.ndarray, size: int, totals: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Tokens that each queue has given before each window: a row for each of ``rounds``.
 
@@ -145,12 +159,13 @@ def allotment(rounds: np.ndarray, size: int, totals: np.ndarray, weights: np.nda
     earned at (k + 1/2) / weight, ties in the order of the queues.
     """
     want = np.minimum(np.asarray(rounds, np.int64) * size, totals.sum())
-    ends = totals / weights
-    order = np.argsort(ends)
-    at = np.concatenate([[0.0], ends[order]])
-    given = np.minimum(totals, at[:, None] * weights).sum(1)
+    at, given = marks(totals, weights)
     time = np.interp(want.astype(float), given, at)
-    c = np.minimum(totals, np.floor(time[:, None] * weights + 0.5).astype(np.int64))
+
+    def earned(time: np.ndarray) -> np.ndarray:
+        return np.minimum(totals, np.floor(time[:, None] * weights + 0.5).astype(np.int64))
+
+    c = earned(time)
     row = np.arange(len(want))
 
     def upcoming() -> np.ndarray:
@@ -162,6 +177,17 @@ def allotment(rounds: np.ndarray, size: int, totals: np.ndarray, weights: np.nda
     def last_of(x: np.ndarray) -> np.ndarray:
         return x.shape[1] - 1 - np.argmax(x[:, ::-1], 1)
 
+    if (np.abs(want - c.sum(1)) > 16).any():  # many queues round alike: halve the time's bounds till few tokens are between them
+        low, high = np.zeros(len(want)), np.full(len(want), at[-1])
+        for _ in range(64):
+            mid = (low + high) / 2
+            under = earned(mid).sum(1) <= want
+            low, high = np.where(under, mid, low), np.where(under, high, mid)
+        c = earned(low)
+        first = np.argsort(upcoming(), 1, kind="stable")
+        lack = np.minimum(want - c.sum(1), (c < totals).sum(1))
+        some = np.arange(len(totals)) < lack[:, None]
+        c[np.nonzero(some)[0], first[some]] += 1
     while (lack := want - c.sum(1)).any():
         more, less = lack > 0, lack < 0
         c[row[more], np.argmin(upcoming()[more], 1)] += 1
@@ -187,59 +213,64 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, wei
     ids = core.stage(encode(docs, tokenizer, end_id, doc_id, text, source), "ids")
     by_part = ids.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     by_queue = by_part.groupBy("queue").agg(F.sum("n").alias("n"))
-    many = by_queue.count() > MAX_QUEUES
-    if many:  # sources share queues by their hash; queues are then a bounded table
-        slot = F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string")
-        by_part = ids.groupBy("part", "queue").agg(F.sum("n").alias("n")).withColumn("own", slot)
-    else:
-        by_part = by_part.withColumn("own", F.col("queue"))
-    tops = sorted(((r.own, r.n) for r in by_part.groupBy("own").agg(F.sum("n").alias("n")).collect()), key=lambda r: (r[0] is not None, r[0] or ""))
+    tops = sorted(((r.queue, r.n) for r in by_queue.collect()), key=lambda r: (r[0] is not None, r[0] or ""))
     names, totals = [q for q, _ in tops], np.array([n for _, n in tops], np.int64)
     share = totals / max(1, totals.sum())
     if weights:
         share = np.array([weights.get(q) or min(x for x in weights.values() if x > 0) for q in names], float)
         share = share / share.sum()
     # where each task's tokens of a queue begin: one row a task and source
-    w = Window.partitionBy("own").orderBy("part", F.col("queue").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    before = by_part.select("part", "queue", "own", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    w = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_part.select("part", "queue", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
     if (n_rows := before.count()) <= 200_000:  # under 10 MB
         before = F.broadcast(before)
     order = {q: i for i, q in enumerate(names)}
     joined = ids.alias("i").join(before.alias("b"), (F.col("i.part") == F.col("b.part")) & F.col("i.queue").eqNullSafe(F.col("b.queue")))
-    joined = joined.select("i.doc", "i.queue", "b.own", (F.col("b.before") + F.col("i.base")).alias("at"), "i.n", "i.wide", "i.ids")
+    joined = joined.select("i.doc", "i.queue", (F.col("b.before") + F.col("i.base")).alias("at"), "i.n", "i.wide", "i.ids")
     state = spark.sparkContext.broadcast((order, totals, share))
     schema = T.StructType([T.StructField(doc_id, ids.schema["doc"].dataType), T.StructField("source", T.StringType()), *(T.StructField(x, T.LongType()) for x in ("start", "length", "doc_tokens", "sequence_id", "offset")), T.StructField("ids", T.BinaryType())])
     del n_rows
 
     def cut(batches):
         order, totals, share = state.value
+        step = max(1, 4096 * MAX_QUEUES // max(1, len(totals)))
+
+        def states(window: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
+            """What queue ``q`` has given before and after a window, and where its tokens begin there."""
+            keys, which = np.unique(window, return_inverse=True)
+            by = np.argsort(which, kind="stable")
+            out = tuple(np.empty(len(q), np.int64) for _ in range(3))
+            for i in range(0, len(keys), step):
+                known, nexts = (allotment(keys[i : i + step] + k, size, totals, share) for k in (0, 1))
+                some = by[slice(*np.searchsorted(which[by], (i, i + step)))]
+                at = which[some] - i, q[some]
+                for x, y in zip(out, (known, nexts, np.cumsum(nexts - known, 1) - (nexts - known)), strict=True):
+                    x[some] = y[at]
+            return out
+
         for batch in core.slices(batches, "ids", 2 << 20):
-            q = np.array([order[x] for x in batch.column(2).to_pylist()], np.int64)
-            at, n = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            data, offsets = core.flat_bytes(batch.column(6))
-            wide = batch.column(5).to_numpy(zero_copy_only=False)
+            q = np.array([order[x] for x in batch.column(1).to_pylist()], np.int64)
+            at, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            data, offsets = core.flat_bytes(batch.column(5))
+            wide = batch.column(4).to_numpy(zero_copy_only=False)
             # the windows that may hold each document: those about its share of time, widened till they do
-            ends = totals / share
-            marks = np.concatenate([[0.0], np.sort(ends)])
-            given = np.minimum(totals, marks[:, None] * share).sum(1)
-            guess = lambda k: np.interp(k / share[q], marks, given)
+            ends, given = marks(totals, share)
+            guess = lambda k: np.interp(k / share[q], ends, given)
             lo = np.maximum(0, (guess(at) - len(totals)) // size - 1).astype(np.int64)
             hi = ((guess(at + n) + len(totals)) // size + 1).astype(np.int64)
             span = hi - lo + 2
-            row = np.repeat(np.arange(len(n)), span)
-            window = np.arange(len(row)) - np.repeat(core.starts(span)[:-1] - lo, span)
-            keys, which = np.unique(window, return_inverse=True)
-            known = np.concatenate([allotment(keys[i : i + 4096], size, totals, share) for i in range(0, len(keys), 4096)])
-            nexts = np.concatenate([allotment(keys[i : i + 4096] + 1, size, totals, share) for i in range(0, len(keys), 4096)])
-            lead = np.cumsum(nexts - known, 1) - (nexts - known)
-            a, b, o = known[which, q[row]], nexts[which, q[row]], lead[which, q[row]]
-            begin, end = np.maximum(a, at[row]), np.minimum(b, at[row] + n[row])
-            on = end > begin
-            row, window, begin, end, a, o = row[on], window[on], begin[on], end[on], a[on], o[on]
-            start, length = begin - at[row], end - begin
-            narrow = 2 + 2 * wide[row].astype(np.int64)
-            raw = [(data[x : x + m * k].view("<u2" if k == 2 else "<u4")).astype("<u4").tobytes() for x, m, k in zip((offsets[row] + start * narrow).tolist(), length.tolist(), narrow.tolist(), strict=True)]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(length), pa.array(n[row]), pa.array(window), pa.array(o + begin - a), pa.array(raw, pa.binary())], [f.name for f in schema])
+            turn = core.starts(span)[:-1] // PAIRS
+            for own in np.split(np.arange(len(n)), np.flatnonzero(np.diff(turn)) + 1):
+                row = np.repeat(own, span[own])
+                window = np.arange(len(row)) - np.repeat(core.starts(span[own])[:-1] - lo[own], span[own])
+                a, b, o = states(window, q[row])
+                begin, end = np.maximum(a, at[row]), np.minimum(b, at[row] + n[row])
+                on = end > begin
+                row, window, begin, end, a, o = row[on], window[on], begin[on], end[on], a[on], o[on]
+                start, length = begin - at[row], end - begin
+                narrow = 2 + 2 * wide[row].astype(np.int64)
+                raw = [(data[x : x + m * k].view("<u2" if k == 2 else "<u4")).astype("<u4").tobytes() for x, m, k in zip((offsets[row] + start * narrow).tolist(), length.tolist(), narrow.tolist(), strict=True)]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(length), pa.array(n[row]), pa.array(window), pa.array(o + begin - a), pa.array(raw, pa.binary())], [f.name for f in schema])
 
     return joined.mapInArrow(cut, schema)
