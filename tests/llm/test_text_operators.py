@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from zonalis.llm import core, crf, decontaminate, hashing, minhash_join, suffix_tree, toxicity
+from zonalis.llm import core, crf, decontaminate, hashing, minhash_join, queries, suffix_tree, toxicity
 
 DOCS = "doc_id long, text string, score double, text_ string, words string"
 
@@ -213,6 +213,41 @@ def test_suffix_tree(spark, block, monkeypatch):
         assert got[i].base_score == pytest.approx(base, rel=1e-9) and got[i].score == pytest.approx(score, rel=1e-5)
 
 
+@pytest.mark.parametrize("block", [12_000_000, 60])
+def test_contexts_grow_with_the_texts(spark, block, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "BLOCK_ENTRIES", block)
+    rng = random.Random(5)
+    # what follows "b c d" depends on the fourth word before it
+    texts = [" ".join(rng.choices(["a b c d x", "e b c d y", "b c z", "c d w"], k=30)) for _ in range(40)] + ["", "a b c d x"]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op2_suffix_tree(spark, str(tmp_path)).collect()}
+    tokens = [[*words(t), None] for t in texts]
+    train = [v for i, v in enumerate(tokens) if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(tuple(v[i : i + k]) for v in train for k in range(1, 9) for i in range(len(v) - k + 1))
+    n, distinct = sum(map(len, train)), sum(len(r) == 1 for r in c)
+    root = lambda w: (c[(w,)] + 0.1) / (n + 0.1 * (distinct + 1))
+    tree, k = {}, 0
+    while k == 0 or any(len(s) == k for s in tree) or k < 2:
+        k += 1
+        gain, kept = Counter(), Counter()
+        for r, x in c.items():
+            if len(r) == k + 1 and x >= suffix_tree.LEAST:
+                gain[r[:-1]] += x * math.log(x / c[r[:-1]] / (c[r[1:]] / c[r[1:-1]] if k > 1 else root(r[1])))
+                kept[r[:-1]] += x - suffix_tree.DISCOUNT
+        tree |= {s: 1 - kept[s] / c[s] for s in gain if gain[s] >= max(suffix_tree.GAIN, suffix_tree.GAIN_SHARE * c[s])}
+    assert 4 <= max(map(len, tree)) < 7
+    for i, v in enumerate(tokens):
+        score = 0.0
+        for j, w in enumerate(v):
+            p = root(w)
+            for s in (tuple(v[j - k : j]) for k in range(1, min(j, 7) + 1)):
+                if s in tree:
+                    x = c[(*s, w)]
+                    p = tree[s] * p + ((x - suffix_tree.DISCOUNT) / c[s] if x >= suffix_tree.LEAST else 0)
+            score += math.log10(p)
+        assert got[i].score == pytest.approx(score, rel=1e-5)
+
+
 def test_suffix_tree_of_nothing(spark):
     df = docs(spark, ["a b", None])
     tree = suffix_tree.grow(df.limit(0))

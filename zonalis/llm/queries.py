@@ -40,7 +40,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document's log10 probability; a tenth of the ids is held out of the tree."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tree = suffix_tree.grow(docs.where(_remainder("doc_id", 10) != 0))
+    tree = suffix_tree.grow(docs.where(_remainder("doc_id", 10) != 0), depth=None)
     out = suffix_tree.score(docs, tree)
     return out.select("doc_id", (_remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
