@@ -112,8 +112,7 @@ def test_words_encode_like_whole_texts():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = ["", "Hello  World's é ÉCOLE 12a", " \x0b\x0cA\x1cB c d", "<|endoftext|> it's", "́ x", "日本語 テキスト", "a" * 5000, "ß ΑΣ Σ İ", "it' s don't", "\x85x y"]
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b", "<|EndOfText|>", "x <|endoftext", "|>", "", "Hello  World's é ÉCOLE 12a", " \x0b\x0cA\x1cB c d", "<|endoftext|> it's", "́ x", "日本語 テキスト", "a" * 5000, "ß ΑΣ Σ İ", "it' s don't", "\x85x y"]
     for cache in (1 << 20, 5):
         e = packing.WordEncoder(path, 2, cache)
         for _ in range(2):
@@ -163,6 +162,27 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_ids_of_pieces_are_those_of_whole_texts(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["hello <|endoftext|> world", None, "", "Ünïcode 日本語 " * 3000, "a<|startoftext|>b " * 700, "plain words " * 2500]
+    df = spark.createDataFrame([(i, x, f"s{i % 2}", 1, "y") for i, x in enumerate(texts)], "doc_id long, text string, source string, start long, ids_crc32 string")
+    got = queries.packed(df.repartition(2)).collect()
+    by_doc = {}
+    for p in got:
+        by_doc.setdefault(p.doc_id, []).append(p)
+    for i, x in enumerate(texts):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        own = sorted(by_doc[i], key=lambda p: p.start)
+        assert own[0].start == 0 and sum(p.length for p in own) == len(ids) == own[0].doc_tokens
+        for p in own:
+            part = ids[p.start : p.start + p.length]
+            assert len(part) == p.length and zlib.crc32(np.array(part, "<u4").tobytes()) == p.ids_crc32
+
+
 def test_packing_with_many_sources(spark, monkeypatch):
     monkeypatch.setattr(packing, "MAX_QUEUES", 3)
     df = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.col("id").cast("string").alias("source"))

@@ -13,7 +13,9 @@ Only the last window is padded. Default weights are the sources' shares of all t
 which empties every queue at the same time.
 
 Defined results: a null text counts as empty and gives the end token alone; a null
-source is a queue of its own; repeated rows are packed each; other columns are ignored;
+source is a queue of its own; repeated rows are packed each; tokens earned at the same
+time are served in the order of the queues' names; a text of any length is cut into
+pieces like others, its ids being held by one task; other columns are ignored;
 no documents give no pieces. Every source is a queue of its own, however many there are;
 of more than ``MAX_QUEUES``, a task works out fewer windows at a time.
 """
@@ -41,15 +43,17 @@ CACHE_WORDS = 1 << 20
 
 
 class WordEncoder:
-    """Ids of whole texts for a tokenizer that never joins what white space separates and
-    ignores that white space: each word is encoded once and remembered, with bounded memory."""
+    """Ids of whole texts, as the tokenizer gives them by itself, for one that never joins what
+    white space separates and ignores that white space: each word is encoded once and
+    remembered, with bounded memory. A text that holds one of the tokenizer's added tokens
+    (in any case of its letters) is encoded whole."""
 
     def __init__(self, path: str, end_id: int, cache_words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.end_id, self.cache_words = end_id, cache_words
         self._clear()
 
@@ -112,7 +116,19 @@ class WordEncoder:
         size = n[which]
         total = core.starts(size)
         flat = self.pool[np.repeat(at[which] - total[:-1], size) + np.arange(total[-1])]
-        return flat, np.diff(total[core.starts(counts + 1)])
+        return self._with_added(data, offsets, flat, np.diff(total[core.starts(counts + 1)]))
+
+    def _with_added(self, data: np.ndarray, offsets: np.ndarray, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids ``flat``, ``n`` of each text, but of texts with added tokens those of the whole text."""
+        low = data.tobytes().lower()
+        if not any(x in low for x in self.added):
+            return flat, n
+        parts = np.split(flat, np.cumsum(n)[:-1])
+        for r in range(len(n)):
+            a, b = offsets[r], offsets[r + 1]
+            if any(low.find(x, a, b) >= 0 for x in self.added):
+                parts[r] = np.array([*self.tokenizer.encode(data[a:b].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, self.end_id], flat.dtype)
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
 
 @lru_cache(1)
