@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,6 +66,13 @@ def drop_staged(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the driver collect the plans that nothing refers to any more: executors then delete
+    the shuffle files of finished stages, which else stay on their disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Give freed memory back to the system: workers live on between stages."""
     pa.default_memory_pool().release_unused()
