@@ -42,7 +42,7 @@ def test_prune_without_a_known_seed():
 
 def test_names_and_ranges():
     assert growth.algorithm(" Reverse_Prune ") == "mobility_prune"
-    assert set(growth.ALIASES.values()) <= set(growth.ALGORITHMS)
+    assert set(growth.ALIASES.values()) <= set(growth.METHODS)
     with pytest.raises(ValueError):
         growth.algorithm("hierarchical")
     with pytest.raises(ValueError):

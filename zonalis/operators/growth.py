@@ -1,4 +1,4 @@
-"""Zone-building algorithms.
+"""Zone-building methods.
 
 Each step depends on the last, so a run is one kernel over its own bounded
 neighbourhood; many runs (seeds, rules, parameters) go in parallel, a group each. The
@@ -416,7 +416,7 @@ def _subproblem(g: Graph, seed: str, pool: list[str], low: int, cap: int, rate:
     return best[0]
 
 
-ALGORITHMS: dict[str, Callable[..., Zone]] = {f.__name__: f for f in (greedy_fast, greedy_weight, greedy_weight_seed_guard, greedy_ratio, czi_balanced, greedy_ttwa, mobility_prune, czi_optimal_cap, greedy_ratio_whole)}
+METHODS: dict[str, Callable[..., Zone]] = {f.__name__: f for f in (greedy_fast, greedy_weight, greedy_weight_seed_guard, greedy_ratio, czi_balanced, greedy_ttwa, mobility_prune, czi_optimal_cap, greedy_ratio_whole)}
 _RESULT = "run_id string, position int, cbg string, population bigint, zone_population bigint, info string, trace string"
 
 
@@ -456,7 +456,7 @@ def build(runs: DataFrame, flow: DataFrame, population: DataFrame, centers: Data
         seed = head["seed"].split(",") if "," in head["seed"] else head["seed"]
         if not isinstance(seed, str) and head["algorithm"] != "mobility_prune":
             seed = seed[0]
-        zone = ALGORITHMS[head["algorithm"]](g, seed, int(head["min_pop"]), **given)
+        zone = METHODS[head["algorithm"]](g, seed, int(head["min_pop"]), **given)
         n = len(zone.cluster)
         return pd.DataFrame({"run_id": key[0], "position": range(1, n + 1), "cbg": zone.cluster, "population": [g.population(c) for c in zone.cluster], "zone_population": zone.population, "info": json.dumps(zone.info, sort_keys=True), "trace": json.dumps(zone.trace)})
 

@@ -11,7 +11,7 @@ from ..sources import visits
 
 
 def cluster_cbgs(records: DataFrame, population: DataFrame, seed: str, min_pop: int, algorithm: str = "czi_balanced", centers: DataFrame | None = None, **parameters) -> DataFrame:
-    """A zone round the seed by one of the algorithms; names and ranges are checked."""
+    """A zone round the seed by one of the methods; names and ranges are checked."""
     name = growth.algorithm(algorithm)
     given = growth.parameters(parameters)
     run = records.sparkSession.createDataFrame([("run", name, seed, int(min_pop), {k: str(v) for k, v in given.items()})], "run_id string, algorithm string, seed string, min_pop int, parameters map<string,string>")
