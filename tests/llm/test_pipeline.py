@@ -83,3 +83,27 @@ def test_empty_corpus(spark, tmp_path):
     for name, shape in (("documents", DOCUMENTS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], shape).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names_repeats_and_long_texts(spark, tmp_path):
+    rng = random.Random(2)
+    word = lambda lang: "".join(rng.choices(PARTS[lang], k=4))
+    text = lambda n, lang="aa": " ".join(word(lang) for _ in range(n))
+    rows = [(i, text(rng.randrange(12, 60), "ab"[i % 2] * 2), "ab"[i % 2] * 2, "s", 1.0, "x", 2, "y") for i in range(60)]
+    long = text(40_000)
+    again = (rows[5][0], rows[5][1], "aa", "s", 0.5, "w", 2, "y")  # the text of a row again
+    other = (rows[4][0], text(30), "aa", "s", 1.0, "x", 2, "y")  # another text under an id
+    copy = (70, rows[4][1], "aa", "s", 1.0, "x", 2, "y")
+    rows += [again, other, copy, copy, (71, long, "aa", "s", 1.0, "x", 2, "y"), (72, long + " more", "aa", "s", 1.0, "x", 2, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _score double, _lang_pred string, n_hit int, `a.b` string")
+    marks = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    marks.where("doc_id < 0").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, text(12, "bb"))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = core.stage(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == df.columns
+    got = sorted((r.doc_id, r.text, r._score) for r in docs.collect())
+    want = {(r[0], r[1]) for r in rows if r[0] not in (70, 72)}
+    assert sorted((i, x) for i, x, _ in got) == sorted(want)
+    assert [s for i, _, s in got if i == 5] == [0.5]  # the first by its columns

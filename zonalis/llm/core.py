@@ -109,6 +109,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             i = j
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named ``c0, c1, ...``, as Arrow functions want no dots in names."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
 def binary_column(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     """A binary array whose rows are runs of ``flat``, ``counts`` elements each."""
     at = np.zeros(len(counts) + 1, np.int64)

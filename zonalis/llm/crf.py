@@ -261,15 +261,15 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", prefix: st
     """``docs`` and the columns ``lang_pred`` and ``score``, their names after ``prefix``."""
     names = docs.columns
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    src = docs.select(*(F.col(f"`{c}`") for c in names), letter.alias("_letter"))
     at_text = names.index(text)
-    schema = docs.select("*").schema.add(f"{prefix}lang_pred", "string").add(f"{prefix}score", "double")
+    src = core.plain(docs.select("*", letter.alias(f"{prefix}letter")))
+    schema = core.plain(docs).select("*").schema.add("lang_pred", "string").add("score", "double")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
         core.release()
-        for batch in core.slices(batches, text, SLICE_BYTES):
+        for batch in core.slices(batches, f"c{at_text}", SLICE_BYTES):
             n = batch.num_rows
             label, score = ["und"] * n, np.zeros(n)
             words, which, counts = _split(*core.flat_bytes(batch.column(at_text))) if m else (None, None, None)
@@ -282,4 +282,4 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", prefix: st
                     label[i], score[i] = m.labels[best[i]], min(1.0, mass[i, best[i]] / counts[i])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(label, pa.string()), pa.array(score)], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).toDF(*names, f"{prefix}lang_pred", f"{prefix}score")

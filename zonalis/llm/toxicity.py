@@ -12,7 +12,9 @@ what remains is a table of a few thousand weights, small enough to broadcast: at
 Defined results: a null or empty text scores by the bias alone; without labelled rows
 of both kinds every score is the share of toxic ones (0.5 without any rows); labels
 that differ for an id count as toxic; null ids, null labels and labels without a
-document teach nothing; repeated rows are scored each; other columns are ignored.
+document teach nothing; rows whose place in the hashed order is the same are taken in the
+order of their features; repeated rows are scored each; a very long text is hashed as a
+whole by one task (about 100 bytes a word); other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -136,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             w = model.weights()
             yield pa.RecordBatch.from_arrays([pa.array(np.append(w.index, -1)), pa.array(np.append(w.value, w.bias))], ["index", "value"])
 
-    one = turns.repartition(1).sortWithinPartitions("epoch", "turn", "at").select("y", "features")
+    one = turns.repartition(1).sortWithinPartitions("epoch", "turn", "at", "features").select("y", "features")
     got = one.mapInArrow(learn, "index long, value double").toArrow()
     index, value = got["index"].to_numpy(), got["value"].to_numpy()
     if len(index) == 0:  # labels, but of none of the documents
@@ -152,13 +154,14 @@ def score(docs: DataFrame, weights: Weights, text: str = "text", column: str = "
     model = docs.sparkSession.sparkContext.broadcast(weights)
     names = docs.columns
     at_text = names.index(text)
-    schema = docs.select("*").schema.add(column, "double")
+    src = core.plain(docs)
+    schema = src.select("*").schema.add("score", "double")
 
     def run(batches):
         w = model.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[w.index] = w.value
-        for batch in core.slices(batches, text, core.SLICE_BYTES // 2):
+        for batch in core.slices(batches, f"c{at_text}", core.SLICE_BYTES // 2):
             hit, at = [], []
             for index, row in _features(*core.flat_bytes(batch.column(at_text))):
                 on = np.flatnonzero(dense[index])
@@ -168,4 +171,4 @@ def score(docs: DataFrame, weights: Weights, text: str = "text", column: str = "
             s = np.bincount(row, dense[index], minlength=batch.num_rows) + w.bias
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).toDF(*names, column)
