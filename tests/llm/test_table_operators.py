@@ -265,6 +265,27 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licence_files_and_headers(spark):
+    text = dict(licenses.PASSAGES)
+    mit = "MIT License\n\nCopyright (c) 2024 Some Body\n\n" + text["MIT"]
+    marks = "\n".join("# " + x for x in text["Apache-2.0 header"].split("\n"))
+    prose = "word and another plain thing " * 60
+    rows = [
+        (1, "a/LICENSE", mit, "MIT"),
+        (2, "b/x.py", "# Copyright 2020 The Owners\n" + marks + "\nimport os\n" + prose, "Apache-2.0"),
+        (3, "c/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n The rest of a long licence follows. " + prose, "GPL-3.0"),
+        (4, "d/y.c", prose + " /* " + text["GPL-2.0 header"].replace(" ", "  \r\n * ") + " */ " + prose, "GPL-2.0"),
+        (5, "e/z", "Permission to speak freely was granted by the chair; no warranty was given. " + prose, None),
+        (6, "f/w", text["BSD-2-Clause"], "BSD-2-Clause"),
+        (6, "f/w", "plain text under the same key", None),
+        (None, "g/v", text["Zlib"].upper(), "Zlib"),
+    ]
+    got = licenses.scan(spark.createDataFrame(rows, "file_id long, path string, text string, name string")).collect()
+    assert sorted((str(r.file_id), str(r.license if r.how == "own" else None)) for r in got) == sorted((str(r[0]), str(r[3])) for r in rows)
+    for name, passage in licenses.PASSAGES:
+        assert any(x in passage.lower() for x in licenses.SIGNALS)
+
+
 def test_anchors_lose_no_match():
     m = licenses.Model()
     for v in m.vectors.values():
