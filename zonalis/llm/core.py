@@ -162,6 +162,8 @@ def bloom(ids: DataFrame, key=None) -> Bloom:
         rows = bits.reshape(Bloom.SLICES, -1)
         on = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array([np.packbits(rows[i]).tobytes() for i in on], pa.binary())], ["slice", "bits"])
+        del bits, rows
+        release()
 
     def merge(table):
         bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
