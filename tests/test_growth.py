@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -63,9 +64,8 @@ edges = st.lists(st.tuples(st.sampled_from("abcdefg"), st.sampled_from("abcdefg"
 @given(edges, st.lists(st.integers(1, 9), min_size=7, max_size=7), st.integers(3, 25))
 def test_best_zone_is_the_best_of_all(edge, people, cap):
     g = graph([("a", "b", 1), *edge], dict(zip("abcdefg", people, strict=True)))
-    z = growth.czi_optimal_cap(g, "a", cap, optimal_candidate_limit=20, optimal_max_iters=30)
-    if z.info.get("fallback"):
-        return
+    z = growth.czi_optimal_cap(g, "a", cap, optimal_candidate_limit=20, optimal_max_iters=30, optimal_mip_rel_gap=0.0)
+    assert not z.info["fallback"] and z.info["proven"]
     low, high = z.info["population_floor"], z.info["population_cap"]
     pool = [x for x in g.near if x != "a"]
     best = max((growth._czi(g, {"a", *some}) for n in range(len(pool) + 1) for some in itertools.combinations(pool, n) if low <= g.population("a") + sum(map(g.population, some)) <= high and growth._holds(g, {"a", *some}, {"a"})), default=0.0)
@@ -79,3 +79,18 @@ def test_grown_zones_are_connected(edge, least):
     for f in (growth.greedy_fast, growth.greedy_weight, growth.greedy_ratio, growth.czi_balanced, growth.greedy_ttwa):
         z = f(g, "a", least)
         assert z.cluster[0] == "a" and len(set(z.cluster)) == len(z.cluster) and growth._holds(g, set(z.cluster), {"a"})
+
+
+def test_best_zone_of_a_full_pool():
+    """At the default pool of 120 areas no zone that the growing rules find is better."""
+    rows = random.Random(7)
+    at = {f"{i:03}": (rows.random(), rows.random()) for i in range(130)}
+    pairs = [(a, b, 30 / (0.02 + (at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2)) for a, b in itertools.combinations(at, 2) if rows.random() < 0.2]
+    g = graph(pairs, {c: rows.randint(500, 2000) for c in at}, {c: rows.randint(10, 3000) for c in at})
+    z = growth.czi_optimal_cap(g, "000", 30_000, optimal_time_limit_sec=2)
+    assert not z.info["fallback"] and z.info["candidates"] == 120 and 27_000 <= z.population <= 30_000
+    assert growth._holds(g, set(z.cluster), {"000"})
+    pool = set(growth._best_first(g, "000", 120))
+    for f in (growth.czi_balanced, growth.greedy_weight, growth.greedy_ratio):
+        grown = f(g, "000", 27_000)
+        assert not set(grown.cluster) <= pool or grown.population > 30_000 or z.info["czi"] >= growth._czi(g, set(grown.cluster)) - 1e-9

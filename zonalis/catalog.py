@@ -366,7 +366,7 @@ def g7_mobility_prune(v: Views) -> DataFrame:
 
 @query()
 def g8_optimal_cap(v: Views) -> DataFrame:
-    return _run(v, "czi_optimal_cap", 300, optimal_candidate_limit=12.0).select("position", "cbg", "zone_population", "info")
+    return _run(v, "czi_optimal_cap", 300).select("position", "cbg", "zone_population", "info")
 
 
 @query()
@@ -555,8 +555,9 @@ def p14_minutes(v: Views) -> DataFrame:
 
 @query("SELECT h::INTEGER AS hour, h BETWEEN 8 AND 16 AS mon, h >= 22 OR h <= 2 AS sat, TRUE AS sun FROM range(24) t(h)", views=False)
 def p6_open_hours(v: Views) -> DataFrame:
-    text = v.patterns.where("open_hours IS NOT NULL").select("open_hours").limit(1)
-    days = text.select(*(parsers.open_hours(F.col("open_hours"), d).alias(n) for d, n in (("Monday", "mon"), ("Saturday", "sat"), ("Sunday", "sun"))), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    text = v.patterns.where("open_hours IS NOT NULL").select("open_hours")
+    days = text.select(*(parsers.open_hours(F.col("open_hours"), d).alias(n) for d, n in (("Monday", "mon"), ("Saturday", "sat"), ("Sunday", "sun")))).distinct()
+    days = days.select("*", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
     return days.select("hour", *(F.array_contains(n, F.col("hour")).alias(n) for n in ("mon", "sat", "sun")))
 
 

@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -331,25 +333,26 @@ def _holds(g: Graph, zone: set[str], seeds: set[str]) -> bool:
     return seen == zone
 
 
-def czi_optimal_cap(g: Graph, seed: str, least: int, optimal_candidate_limit: int = 120, optimal_population_floor_ratio: float = 0.9, optimal_max_iters: int = 8, exact_limit: int = 18, **rest) -> Zone:
+def czi_optimal_cap(g: Graph, seed: str, least: int, optimal_candidate_limit: int = 120, optimal_population_floor_ratio: float = 0.9, optimal_max_iters: int = 8, optimal_mip_rel_gap: float = 0.02, optimal_time_limit_sec: float = 20, **rest) -> Zone:
     """The connected zone round the seed with the best index and a population between a floor
-    and a cap: Dinkelbach's iteration, each subproblem solved by branch and bound over at
-    most ``exact_limit`` candidates; for more, the balanced rule."""
+    and a cap: Dinkelbach's iteration, each subproblem solved by branch and bound to the
+    relative gap, or as far as the time limit lets it (``proven`` is then false)."""
     cap = max(least, g.population(seed))
     low = max(g.population(seed), math.floor(cap * optimal_population_floor_ratio))
-    pool = _best_first(g, seed, max(10, optimal_candidate_limit))
+    pool = _best_first(g, seed, max(10, int(optimal_candidate_limit)))
     people = sum(map(g.population, pool))
-    if people <= 0 or len(pool) > exact_limit:
+    if people <= 0:
         return _fallback(g, seed, least, rest)
     cap, low = min(cap, people), min(low, people)
+    program = _Program(g, pool)
     while True:
-        found = _dinkelbach(g, seed, pool, low, cap, optimal_max_iters)
+        found, proven = _dinkelbach(g, program, low, cap, int(optimal_max_iters), optimal_mip_rel_gap, optimal_time_limit_sec)
         if found or low <= g.population(seed):
             break
         low = max(g.population(seed), math.floor(low * 0.9))
     if not found:
         return _fallback(g, seed, least, rest)
-    return Zone(sorted(found, key=lambda c: (c != seed, c)), sum(map(g.population, found)), [], {"fallback": False, "czi": _czi(g, found), "population_floor": low, "population_cap": cap})
+    return Zone(sorted(found, key=lambda c: (c != seed, c)), sum(map(g.population, found)), [], {"fallback": False, "czi": _czi(g, found), "population_floor": low, "population_cap": cap, "candidates": len(pool), "proven": proven})
 
 
 def _fallback(g: Graph, seed: str, least: int, rest: dict) -> Zone:
@@ -374,11 +377,12 @@ def _czi(g: Graph, zone: set[str]) -> float:
     return m["in"] / (m["in"] + m["out"]) if m["in"] + m["out"] else 0.0
 
 
-def _dinkelbach(g: Graph, seed: str, pool: list[str], low: int, cap: int, rounds: int) -> set[str] | None:
+def _dinkelbach(g: Graph, program: _Program, low: int, cap: int, rounds: int, gap: float, seconds: float) -> tuple[set[str] | None, bool]:
     best: tuple | None = None
-    rate = 0.5
+    rate, proven = 0.5, True
     for _ in range(rounds):
-        zone = _subproblem(g, seed, pool, low, cap, rate)
+        zone, done = program.solve(low, cap, rate, gap, seconds, best and best[2])
+        proven &= done
         if zone is None:
             break
         czi, people = _czi(g, zone), sum(map(g.population, zone))
@@ -388,32 +392,240 @@ def _dinkelbach(g: Graph, seed: str, pool: list[str], low: int, cap: int, rounds
         if abs(czi - rate) <= 1e-4 or abs((1 - rate) * m["in"] - rate * m["out"]) <= 1e-3:
             break
         rate = czi
-    return best[2] if best else None
-
-
-def _subproblem(g: Graph, seed: str, pool: list[str], low: int, cap: int, rate: float) -> set[str] | None:
-    """The connected zone that maximises ``(1 - rate) * inside - rate * boundary``."""
-    best: list = [None, -math.inf]
-    inside_pool = set(pool)
-    gain = {c: (1 - rate) * (g.loop.get(c, 0.0) + sum(w for n, w in g.near.get(c, {}).items() if n in inside_pool)) for c in pool}
-
-    def visit(zone: frozenset, banned: frozenset, people: int) -> None:
-        m = _movement(g, set(zone))
-        value = (1 - rate) * m["in"] - rate * m["out"]
-        if people >= low and value > best[1] + 1e-12:
-            best[:] = [set(zone), value]
-        bound = (1 - rate) * m["in"] + sum(v for c, v in gain.items() if c not in zone and c not in banned)
-        if bound <= best[1]:
+    return (best[2] if best else None), proven
+
+
+class _Program:
+    """Connected zones of a pool, the seed its first, that maximise
+    ``(1 - rate) * inside - rate * boundary`` between two populations.
+
+    With a value for each area and a cost for each pair that a zone parts, the best zone
+    without regard to population and connection is a minimum cut. A multiplier on the
+    population makes that an upper bound for zones within the limits; branches grow a
+    connected zone by one neighbour or ban it.
+    """
+
+    def __init__(self, g: Graph, pool: list[str]) -> None:
+        self.pool, at = pool, {c: i for i, c in enumerate(pool)}
+        self.w = np.zeros((len(pool), len(pool)))
+        self.loop = np.array([g.loop.get(c, 0.0) for c in pool])
+        self.away = np.zeros(len(pool))
+        self.people = np.array([g.population(c) for c in pool], float)
+        for c, i in at.items():
+            for n, weight in g.near.get(c, {}).items():
+                if n in at:
+                    self.w[i, at[n]] = weight
+                elif n != c:
+                    self.away[i] += weight
+        np.fill_diagonal(self.w, 0.0)
+
+    def solve(self, low: float, cap: float, rate: float, gap: float, seconds: float, known: set[str] | None = None) -> tuple[set[str] | None, bool]:
+        """The best zone, None if no zone fits, and whether it is proven: no zone's value is larger by
+        more than ``gap`` times the movement inside, which bounds the index's relative gap.
+        ``known`` is a zone that fits, to begin with."""
+        self.worth = (1 - rate) * (self.loop + self.w.sum(1) / 2) - rate * self.away
+        self.parted = (1 + rate) / 2 * self.w
+        n, end = len(self.pool), time.monotonic() + seconds
+        best: list = [None, -math.inf]
+
+        def offer(zone: np.ndarray) -> None:
+            if low <= self.people[zone].sum() <= cap and (v := self._value(zone)) > best[1] + 1e-12:
+                best[:] = [zone.copy(), v]
+
+        first = np.zeros(n, bool)
+        first[0] = True
+        begun = [z for by in ("person", "index", "inside") if (z := self._fill(first, np.ones(n, bool), low, cap, by)) is not None]
+        if known is not None:
+            begun.append(np.isin(self.pool, list(known)))
+        for zone in begun:
+            offer(self._improve(zone, low, cap))
+        todo = [(first, np.zeros(n, bool))]
+        while todo:
+            if best[0] is not None and time.monotonic() > end:
+                return self._names(best[0]), False
+            zone, banned = todo.pop()
+            free = self._reach(zone, ~banned)  # with the zone
+            people = self.people[zone].sum()
+            if people > cap or self.people[free].sum() < low:
+                continue
+            offer(zone)
+            spare = np.sort(self.people[free & ~zone])[:3]
+            if len(spare) < 3 or people + spare.sum() > cap:  # two more at most
+                self._pairs(zone, free & ~zone, low, cap, offer)
+                continue
+            bound, cuts = self._bound(zone, free, low, cap)
+            for x in cuts:
+                offer(self._reach(zone, x))
+            grown = self._fill(zone, free, low, cap, "person")
+            if grown is not None and self._value(grown) > best[1]:
+                offer(self._improve(grown, low, cap))
+            if best[0] is not None and bound - best[1] <= max(1e-12, gap * self._inside(best[0])):
+                continue
+            near = np.flatnonzero(free & ~zone & (self.w[zone] > 0).any(0))
+            near = near[people + self.people[near] <= cap]
+            if len(near):
+                c = near[np.argmax(self._gains(zone)[near])]
+                out, more = banned.copy(), zone.copy()
+                out[c] = more[c] = True
+                todo += [(zone, out), (more, banned)]
+        return (None if best[0] is None else self._names(best[0])), True
+
+    def _names(self, zone: np.ndarray) -> set[str]:
+        return {self.pool[i] for i in np.flatnonzero(zone)}
+
+    def _value(self, zone: np.ndarray) -> float:
+        return float(self.worth[zone].sum() - self.parted[zone][:, ~zone].sum())
+
+    def _inside(self, zone: np.ndarray) -> float:
+        return float(self.loop[zone].sum() + self.w[np.ix_(zone, zone)].sum() / 2)
+
+    def _gains(self, zone: np.ndarray) -> np.ndarray:
+        return self.worth + self.parted[zone].sum(0) - self.parted[~zone].sum(0)
+
+    def _reach(self, zone: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+        seen = zone.copy()
+        while True:
+            more = allowed & ~seen & (self.w[seen] > 0).any(0)
+            if not more.any():
+                return seen
+            seen |= more
+
+    def _fill(self, zone: np.ndarray, free: np.ndarray, low: float, cap: float, by: str) -> np.ndarray | None:
+        """The best zone that fits of those that this one grows to by the largest gain a person,
+        index or movement inside."""
+        zone, best, value = zone.copy(), None, -math.inf
+        while True:
+            if self.people[zone].sum() >= low and (v := self._value(zone)) > value:
+                best, value = zone.copy(), v
+            near = np.flatnonzero(free & ~zone & (self.w[zone] > 0).any(0))
+            near = near[self.people[zone].sum() + self.people[near] <= cap]
+            if not len(near):
+                return best
+            met = self.w[zone].sum(0)
+            if by == "index":
+                inner = self._inside(zone) + self.loop + met
+                both = inner + self.away[zone].sum() + met[~zone].sum() + self.away + self.w.sum(1) - 2 * met
+                score = inner / np.maximum(both, 1e-12)
+            else:
+                score = met if by == "inside" else self._gains(zone) / (1 + self.people)
+            zone[near[np.argmax(score[near])]] = True
+
+    def _improve(self, zone: np.ndarray, low: float, cap: float) -> np.ndarray:
+        """A zone that no area added, dropped or exchanged makes better (of the 50 best changes)."""
+        n = len(zone)
+        while True:
+            gain, people = self._gains(zone), self.people[zone].sum()
+            # rows: the area that goes, columns: the one that comes; the last of each: none
+            change = np.full((n + 1, n + 1), -np.inf)
+            change[:n, :n] = gain - gain[:, None] - 2 * self.parted
+            change[:n, n], change[n, :n] = -gain, gain
+            goes, comes = np.append(self.people, 0.0)[:, None], np.append(self.people, 0.0)
+            fits = np.outer(np.append(zone, True), np.append(~zone, True)) & (people - goes + comes >= low) & (people - goes + comes <= cap)
+            fits[0], fits[n, n] = False, False
+            change[~fits] = -np.inf
+            for k in np.argsort(change, axis=None)[::-1][:50]:
+                i, j = divmod(int(k), n + 1)
+                if change[i, j] <= 1e-9:
+                    return zone
+                new = np.append(zone, False)
+                new[i], new[j] = False, True
+                new = new[:n]
+                first = np.zeros(n, bool)
+                first[0] = True
+                if (self._reach(first, new) == new).all():
+                    zone = new
+                    break
+            else:
+                return zone
+
+    def _pairs(self, zone: np.ndarray, more: np.ndarray, low: float, cap: float, offer: Callable) -> None:
+        """Offer the best zone that one or two areas of ``more`` make of this one."""
+        some = np.flatnonzero(more)
+        if not len(some):
             return
-        near = sorted({n for z in zone for n in g.near.get(z, {}) if n in inside_pool} - zone - banned)
-        out = set(banned)
-        for c in near:
-            if people + g.population(c) <= cap:
-                visit(zone | {c}, frozenset(out), people + g.population(c))
-            out.add(c)
-
-    visit(frozenset([seed]), frozenset(), g.population(seed))
-    return best[0]
+        gain, near = self._gains(zone)[some], (self.w[zone][:, some] > 0).any(0)
+        people = self.people[zone].sum() + self.people[some]
+        n = len(some)
+        change, size = np.full((n, n + 1), -np.inf), np.empty((n, n + 1))
+        change[:, :n] = gain + gain[:, None] + 2 * self.parted[np.ix_(some, some)]
+        change[:, n], size[:, n] = gain, people
+        size[:, :n] = people[:, None] + self.people[some]
+        met = np.ones((n, n + 1), bool)
+        met[:, :n] = near | (self.w[np.ix_(some, some)] > 0)
+        met[np.arange(n), np.arange(n)] = False
+        change[~met | ~near[:, None] | (size < low) | (size > cap)] = -np.inf
+        i, j = divmod(int(change.argmax()), n + 1)
+        if change[i, j] > -np.inf:
+            out = zone.copy()
+            out[some[i]] = True
+            if j < n:
+                out[some[j]] = True
+            offer(out)
+
+    def _bound(self, zone: np.ndarray, free: np.ndarray, low: float, cap: float) -> tuple[float, list[np.ndarray]]:
+        """An upper bound of zones between ``zone`` and ``free``, and the cuts met on the way."""
+        x = self._cut(zone, free, 0.0)
+        bound, cuts = self._value(x), [x]
+        people = self.people[x].sum()
+        if low <= people <= cap:
+            return bound, cuts
+        # the multiplier at which the cut and the zone (or all that is free) are worth the same
+        limit, other = (cap, zone) if people > cap else (low, free)
+        for _ in range(6):
+            step = self.people[x].sum() - self.people[other].sum()
+            if abs(step) < 1e-9:
+                break
+            t = (self._value(x) - self._value(other)) / step
+            if t * (people - limit) <= 0:  # the wrong sign bounds nothing
+                break
+            y = self._cut(zone, free, t)
+            cuts.append(y)
+            bound = min(bound, self._value(y) - t * (self.people[y].sum() - limit))
+            if (self.people[y].sum() > limit) == (people > limit):
+                if self.people[y].sum() == self.people[x].sum():
+                    break
+                x = y
+            elif self.people[y].sum() == self.people[other].sum():
+                break
+            else:
+                other = y
+        return bound, cuts
+
+    def _cut(self, zone: np.ndarray, free: np.ndarray, t: float) -> np.ndarray:
+        """The set between ``zone`` and ``free`` that is worth most, ``t`` a person taken off."""
+        some = np.flatnonzero(free & ~zone)
+        n = len(some)
+        if not n:
+            return zone.copy()
+        pull = self.worth[some] - t * self.people[some]
+        left = np.zeros((n + 2, n + 2))  # what each arc still carries; the source and the sink last
+        left[:n, :n] = self.parted[np.ix_(some, some)]
+        left[n, :n] = np.maximum(pull, 0) + self.parted[np.ix_(zone, some)].sum(0)
+        left[:n, n + 1] = np.maximum(-pull, 0) + self.parted[np.ix_(some, ~free)].sum(1)
+        straight = np.minimum(left[n, :n], left[:n, n + 1])
+        left[n, :n] -= straight
+        left[:n, n + 1] -= straight
+        least = 1e-10 * (1 + left.max())
+        while True:
+            before = np.full(n + 2, -1)
+            before[n] = n
+            wave = np.array([n])
+            while len(wave) and before[n + 1] < 0:
+                open_ = left[wave] > least
+                new = np.flatnonzero(open_.any(0) & (before < 0))
+                before[new] = wave[open_[:, new].argmax(0)]
+                wave = new
+            if before[n + 1] < 0:
+                out = zone.copy()
+                out[some[before[:n] >= 0]] = True
+                return out
+            path = [n + 1]
+            while path[-1] != n:
+                path.append(before[path[-1]])
+            heads, tails = path[:-1], path[1:]
+            flow = left[tails, heads].min()
+            left[tails, heads] -= flow
+            left[heads, tails] += flow
 
 
 METHODS: dict[str, Callable[..., Zone]] = {f.__name__: f for f in (greedy_fast, greedy_weight, greedy_weight_seed_guard, greedy_ratio, czi_balanced, greedy_ttwa, mobility_prune, czi_optimal_cap, greedy_ratio_whole)}
