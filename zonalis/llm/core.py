@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,23 @@ def drop_staged(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Texts that Python gets at a time where its memory is short; Spark's default is 10000.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """What runs within sends Arrow batches of at most ``rows`` rows: the JVM, outside its
+    heap, and the Python worker of each task hold a batch of whole texts each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def sweep(spark: SparkSession) -> None:
     """Let the driver collect the plans that nothing refers to any more: executors then delete
     the shuffle files of finished stages, which else stay on their disks."""
