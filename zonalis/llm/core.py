@@ -147,50 +147,64 @@ def starts(counts: np.ndarray) -> np.ndarray:
 
 
 class Bloom:
-    """A filter of at most ``2**BITS`` bits, whatever it holds: full, it lets all pass."""
+    """A filter of ``2**n`` bits, packed, whatever it holds: full, it lets all pass."""
 
-    BITS, SLICES = 24, 64
+    SLICES = 64
 
     def __init__(self, bits: np.ndarray) -> None:
         self.bits = bits
+        self.n = len(bits).bit_length() + 2
 
     @staticmethod
-    def slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def slots(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         from .hashing import mix
 
         h = mix(ids.astype(np.int64).view(np.uint64))
-        low = np.uint64((1 << Bloom.BITS) - 1)
-        return (h & low).astype(np.int64), (h >> np.uint64(40)).astype(np.int64)
+        return (h & np.uint64((1 << n) - 1)).astype(np.int64), (h >> np.uint64(64 - n)).astype(np.int64)
+
+    @staticmethod
+    def mark(bits: np.ndarray, at: np.ndarray) -> None:
+        np.bitwise_or.at(bits, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
 
     def find(self, ids: np.ndarray) -> np.ndarray:
-        a, b = self.slots(ids)
-        return self.bits[a] & self.bits[b]
+        a, b = self.slots(ids, self.n)
+        on = (self.bits[a >> 3] >> (a & 7).astype(np.uint8)) & (self.bits[b >> 3] >> (b & 7).astype(np.uint8))
+        return (on & np.uint8(1)).view(bool)
 
 
-def bloom(ids: DataFrame, key=None) -> Bloom:
-    """A filter of the integers in the first column of ``ids``, or of what ``key`` makes of a
-    batch; merged by slices on the executors."""
-    size = 1 << Bloom.BITS
+def bloom(ids: DataFrame, key=None, n: int = 24) -> Bloom:
+    """A filter of ``2**n`` bits of the integers in the first column of ``ids``, or of what
+    ``key`` makes of a batch; merged by slices on the executors. Tasks send a slice's
+    places where it holds few, else its bits."""
+    part = (1 << n) // Bloom.SLICES
 
     def mark(batches):
-        bits = np.zeros(size, bool)
+        bits = np.zeros((1 << n) // 8, np.uint8)
         for batch in batches:
-            for at in Bloom.slots(key(batch) if key else batch.column(0).to_numpy()):
-                bits[at] = True
+            for at in Bloom.slots(key(batch) if key else batch.column(0).to_numpy(), n):
+                Bloom.mark(bits, at)
         rows = bits.reshape(Bloom.SLICES, -1)
-        on = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array([np.packbits(rows[i]).tobytes() for i in on], pa.binary())], ["slice", "bits"])
+        for i in np.flatnonzero(rows.any(1)):
+            at = np.flatnonzero(np.unpackbits(rows[i], bitorder="little"))
+            few = 4 * len(at) < rows.shape[1]
+            raw = at.astype("<u4").tobytes() if few else rows[i].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([bool(few)]), pa.array([raw], pa.binary())], ["slice", "few", "bits"])
         del bits, rows
         release()
 
     def merge(table):
-        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
+        bits = np.zeros(part // 8, np.uint8)
+        for few, raw in zip(table["few"].to_pylist(), table["bits"].to_pylist(), strict=True):
+            if few:
+                Bloom.mark(bits, np.frombuffer(raw, "<u4").astype(np.int64))
+            else:
+                bits |= np.frombuffer(raw, np.uint8)
         return pa.table([table["slice"].slice(0, 1), pa.array([bits.tobytes()], pa.binary())], ["slice", "bits"])
 
-    got = ids.mapInArrow(mark, "slice long, bits binary").groupBy("slice").applyInArrow(merge, "slice long, bits binary").toArrow()
-    bits = np.zeros((Bloom.SLICES, size // Bloom.SLICES), bool)
-    for i, x in zip(got["slice"].to_pylist(), got["bits"].to_pylist(), strict=True):
-        bits[i] = np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool)
+    got = ids.mapInArrow(mark, "slice long, few boolean, bits binary").groupBy("slice").applyInArrow(merge, "slice long, bits binary").toArrow()
+    bits = np.zeros((Bloom.SLICES, part // 8), np.uint8)
+    for i, x in zip(got["slice"].to_pylist(), got["bits"], strict=True):
+        bits[i] = np.frombuffer(x.as_buffer(), np.uint8)
     del got
     release()
     return Bloom(bits.ravel())
