@@ -346,3 +346,23 @@ def test_languages(spark):
 
 def test_digest_of_found_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+@pytest.mark.parametrize("n,rows", [(24, 0), (24, 500), (16, 20_000), (27, 3000)])
+def test_filter_lets_all_that_it_holds_pass(spark, n, rows):
+    ids = spark.range(0, rows, 1, 3).select((F.xxhash64("id")).alias("id"))
+    held = np.array([r.id for r in ids.collect()], np.int64)
+    found = core.bloom(ids, n=n)
+    assert found.n == n and found.find(held).all()
+    others = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20_000)
+    expected = (1 - math.exp(-2 * rows / 2**n)) ** 2
+    assert abs(found.find(others).mean() - expected) < 0.02
+
+
+def test_batch_size_is_put_back(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError), core.small_batches(spark, 7):
+        assert spark.conf.get(key) == "7"
+        raise ValueError
+    assert spark.conf.get(key) == before
