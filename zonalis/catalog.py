@@ -281,9 +281,13 @@ def w13_sweep(v: Views) -> DataFrame:
     return zones.sweep(edge, rank, 1)
 
 
-@query("SELECT a AS cbg, " + ", ".join(f"coalesce(sum(CASE WHEN b = '24000{k:07d}' THEN weight END), 0)::DOUBLE AS \"24000{k:07d}\"" for k in (0, 5, 14, 15, 16)) + " FROM adj GROUP BY 1")
+#: Every area: nation k of the driver's tables lies in region k modulo 5.
+_AREAS = [f"24{k % 5:03d}{k:07d}" for k in range(25)]
+
+
+@query("SELECT a AS cbg, " + ", ".join(f"coalesce(sum(CASE WHEN b = '{x}' THEN weight END), 0)::DOUBLE AS \"{x}\"" for x in _AREAS) + " FROM adj GROUP BY 1")
 def k9_matrix(v: Views) -> DataFrame:
-    return flows.adjacency_matrix(flows.edges(v.rec), [f"24000{k:07d}" for k in (0, 5, 14, 15, 16)])
+    return flows.adjacency_matrix(flows.edges(v.rec), _AREAS)
 
 
 _DWELL = "dw AS (SELECT 'poi-' || s_suppkey AS place, src AS cbg, floor(sum(weight) * (s_suppkey % 200)) AS weight FROM visit WHERE month = '1995-06' GROUP BY s_suppkey, src HAVING floor(sum(weight) * (s_suppkey % 200)) > 0)"
