@@ -248,6 +248,20 @@ def test_contexts_grow_with_the_texts(spark, block, tmp_path, monkeypatch):
         assert got[i].score == pytest.approx(score, rel=1e-5)
 
 
+def test_blocks_write_sums_alone(spark, monkeypatch):
+    """However many blocks score the texts, none writes texts or a row for each token; rows that repeat stay rows."""
+    texts = ["a b c d e f g h"] * 9 + ["h g f e d c b a"] * 9 + ["a c", None, ""]
+    df = docs(spark, texts).union(docs(spark, texts[:2])).union(docs(spark, ["unseen"]))
+    tree = suffix_tree.grow(df)
+    rows = lambda: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in suffix_tree.score(df, tree).collect())
+    whole = rows()
+    staged, stage = [], suffix_tree.core.stage
+    monkeypatch.setattr(suffix_tree, "BLOCK_ENTRIES", tree.n_entries // 3)
+    monkeypatch.setattr(suffix_tree.core, "stage", lambda t, *a, **b: staged.append(t.dtypes) or stage(t, *a, **b))
+    assert rows() == whole and len(whole) == len(texts) + 3 and len(staged) > 2
+    assert not [x for x in staged if any(kind in ("binary", "string") or kind.startswith("array") for _, kind in x)]
+
+
 def test_suffix_tree_of_nothing(spark):
     df = docs(spark, ["a b", None])
     tree = suffix_tree.grow(df.limit(0))
