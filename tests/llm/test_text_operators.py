@@ -248,6 +248,18 @@ def test_contexts_grow_with_the_texts(spark, block, tmp_path, monkeypatch):
         assert got[i].score == pytest.approx(score, rel=1e-5)
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_likely_pairs_of_many_documents_at_once(same):
+    rng = np.random.default_rng(3)
+    doc, n, c = rng.permutation(90), rng.integers(50, 80, 90), rng.integers(0, 9, 90)
+    sketch = rng.choice(rng.integers(0, 2**63, 4, dtype=np.uint64), 90) ^ (np.uint64(1) << rng.integers(0, 64, 90).astype(np.uint64))
+    rows, right = (np.arange(90),) * 2 if same else (np.arange(40), np.arange(40, 90))
+    got = minhash_join._likely(rows, right, doc, n, c, sketch, same, 80, 100, 1 if same else 2)
+    fits = lambda i, j: c[i] != c[j] and max(n[i], n[j]) * 80 <= min(n[i], n[j]) * 100 and int(sketch[i] ^ sketch[j]).bit_count() <= (1 if same else 2) and (not same or doc[j] > doc[i])
+    want = [(i, j) for i in rows for j in right if fits(i, j)]
+    assert [(int(i), int(j)) for i, j in zip(*got, strict=True)] == want and want
+
+
 def test_blocks_write_sums_alone(spark, monkeypatch):
     """However many blocks score the texts, none writes texts or a row for each token; rows that repeat stay rows."""
     texts = ["a b c d e f g h"] * 9 + ["h g f e d c b a"] * 9 + ["a c", None, ""]
